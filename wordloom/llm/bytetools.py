@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Whitespace of the word pattern ``[^\x20\x09-\x0D]+``.
 SPACE = np.zeros(256, bool)
@@ -27,7 +28,7 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
     """Parts of ``batch`` with about ``limit`` bytes of ``column`` each (one row at least)."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0)).astype(np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
     ends = np.cumsum(sizes)
     begin = 0
     while begin < len(sizes):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytetools import slices, spread, text_bytes
-from .staging import maybe_broadcast, stage
+from .staging import arrow_map, maybe_broadcast, stage
 from .tokens import Encoder, vocabulary_path, with_end
 
 
@@ -70,7 +70,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 )
 
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    made = stage(rows.mapInArrow(pack, "doc_id long, start long, length long, doc_tokens long, part int, rank long, ids binary"), "packed")
+    made = stage(arrow_map(rows, pack, "doc_id long, start long, length long, doc_tokens long, part int, rank long, ids binary"), "packed")
     counts = stage(made.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "packed-counts")
     before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     lengths = counts.groupBy("length").agg(F.sum("n").alias("n")).select(F.col("length").alias("l_length"), before(Window.orderBy("length"), "n").alias("base"))

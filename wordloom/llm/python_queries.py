@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .packing import pack_documents
+from .quality_classifier import classify_quality
 from .token_files import read_token_shards, write_token_shards
 from .native_queries import documents
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_shards(write_token_shards(documents(spark, sf_dir)))
 
@@ -19,5 +24,5 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op5_token_files": op5_token_files, "op6_packing": op6_packing}
+QUERIES = {"op4_quality_classifier": op4_quality_classifier, "op5_token_files": op5_token_files, "op6_packing": op6_packing}
 ORACLE_SQL: dict[str, str] = {}

@@ -51,3 +51,31 @@ def maybe_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
 
     rows = df.count() if rows is None else rows
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers, once per application."""
+    import os
+    import zipfile
+
+    if (app := spark.sparkContext.applicationId) in _shipped:
+        return
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    to = os.path.join(tempfile.mkdtemp(prefix="wordloom-ship-"), "wordloom.zip")  # the driver serves it to executors
+    with zipfile.ZipFile(to, "w") as z:
+        for folder, _, files in os.walk(here):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join("wordloom", os.path.relpath(full, here)))
+    spark.sparkContext.addPyFile(to)
+    _shipped.add(app)
+
+
+def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with the package shipped to the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(fn, schema)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytetools import slices, text_bytes
-from .staging import maybe_broadcast, stage
+from .staging import arrow_map, maybe_broadcast, stage
 from .tokens import Encoder, vocabulary_path, with_end
 
 BLOCK = 512
@@ -143,7 +143,7 @@ def write_token_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield flush()
 
     ordered = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return stage(ordered.mapInArrow(write, "part int, seq int, n_tokens long, content binary"), "token-shards")
+    return stage(arrow_map(ordered, write, "part int, seq int, n_tokens long, content binary"), "token-shards")
 
 
 def read_token_shards(shards: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -164,7 +164,7 @@ def read_token_shards(shards: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts, ends)]
                 yield pa.RecordBatch.from_pydict({id_col: pa.array(shard.doc_ids, pa.int64()), "start": pa.array(starts + begin, pa.int64()), "n_tokens": pa.array(shard.counts, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
-    return placed.select("content", "begin").mapInArrow(read, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long")
+    return arrow_map(placed.select("content", "begin"), read, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long")
 
 
 def export_shards(shards: DataFrame, folder: str) -> int:

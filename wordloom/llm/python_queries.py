@@ -5,12 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .impact_index import exact_top_k
+from .jaccard_join import jaccard_components
 from .packing import pack_documents
+from .personal_data import find_personal_data
 from .quality_classifier import classify_quality
+from .substring_dedup import cut_repeats
 from .token_files import read_token_shards, write_token_shards
 from .native_queries import documents
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 50 == 0)
+
+
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -24,5 +36,31 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {"op4_quality_classifier": op4_quality_classifier, "op5_token_files": op5_token_files, "op6_packing": op6_packing}
-ORACLE_SQL: dict[str, str] = {}
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(documents(spark, sf_dir))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_repeats(documents(spark, sf_dir))
+
+
+QUERIES = {
+    "op2_exact_top_k": op2_exact_top_k,
+    "op3_jaccard_join": op3_jaccard_join,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op5_token_files": op5_token_files,
+    "op6_packing": op6_packing,
+    "op8_personal_data": op8_personal_data,
+    "op9_substring_dedup": op9_substring_dedup,
+}
+
+OP2_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_exact_top_k": OP2_SQL}

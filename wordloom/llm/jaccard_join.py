@@ -4,14 +4,15 @@ A document is the set of its distinct shingles (64-bit hashes of 4 lower-cased w
 have Jaccard similarity of at least ``percent``, they share a token among the first n - ceil(percent n) + 1 tokens of
 one and the first m - ceil(percent m) + 1 of the other under *every* global token order.  Three orders are used.  All
 put rare tokens first, by the binary logarithm of a count over the whole corpus, and break ties by different hashes.
-Candidates come from the first order's postings, must also share prefix tokens under the second and third
-order, and be of compatible size; only then are the sets compared, exactly.
+Candidates come from the first order's postings, where the position of a shared token must leave room for the overlap
+that a link of these sizes needs; they must also share prefix tokens, and enough of them, under the second and third
+order; only then are the sets compared, exactly.
 
 The result is one row per document with its component, so links inside a component that is already connected
 need not be verified:
 
 1. Documents with equal sets are one node.
-2. In every posting list each node is paired with the list's smallest node (a star); these pairs are filtered and verified.
+2. In every posting list each node is paired with the node that has the fewest tokens before it (a star); these pairs are filtered and verified.
 3. Posting lists that still hold several components of the verified links are expanded, but only across components, and
    these pairs are filtered and verified too.  After that, every candidate pair is verified or joined by verified links.
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .bytetools import hash_spans, mix, slices, spread, text_bytes, words
 from .components import components
-from .staging import arrow_map, stage, unstage
+from .staging import arrow_map, release, stage, unstage
 
 SKETCH_BITS = 22
 CHUNKS = 64
@@ -121,6 +122,8 @@ def _prefixes(rows: DataFrame, levels: np.ndarray, n: int, percent: int) -> Data
                 for k, seed in enumerate(SEEDS):
                     key = high | (mix(flat ^ np.uint64(seed)) >> np.uint64(8))
                     picked = [np.argpartition(key[a:b], t - 1)[:t] + a for a, b, t in zip(at[:-1], at[1:], take.tolist()) if t]
+                    if k == 0:  # in order, for the positions
+                        picked = [x[np.argsort(key[x])] for x in picked]
                     tokens = flat[np.concatenate(picked)] if picked else flat[:0]
                     values = pa.array(tokens.view(np.int64)) if k == 0 else pa.array((mix(tokens ^ np.uint64(1)) >> np.uint64(32)).astype(np.uint32).view(np.int32))
                     columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(take)), pa.int32()), values))
@@ -148,8 +151,12 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The links among candidate ``pairs(a, b)``: filters of the second and third order, then the exact comparison."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("o2").alias(f"{x}2"), F.col("o3").alias(f"{x}3"))
-    passed = pairs.join(side("a"), "a").join(side("b"), "b").where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b")
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"{x}n"), F.col("o2").alias(f"{x}2"), F.col("o3").alias(f"{x}3"))
+    # what the prefixes share and the longer rest of a set bound the overlap; equal 32-bit hashes within a prefix are allowed for
+    rest = F.greatest(F.col("an") - F.size("a2"), F.col("bn") - F.size("b2"))
+    lost = lambda o: F.size(f"a{o}") - F.size(F.array_distinct(f"a{o}")) + F.size(f"b{o}") - F.size(F.array_distinct(f"b{o}"))
+    enough = lambda o: F.size(F.array_intersect(f"a{o}", f"b{o}")) + lost(o) + rest >= F.ceil((F.col("an") + F.col("bn")) * percent / F.lit(100 + percent))
+    passed = pairs.join(side("a"), "a").join(side("b"), "b").where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3") & enough("2") & enough("3")).select("a", "b")
     passed = stage(passed, "candidates")
     wanted = passed.select(F.col("a").alias("node")).union(passed.select(F.col("b").alias("node"))).distinct()
     sets = _sets_of(docs, wanted.join(nodes.select("node", "id"), "node"), n)
@@ -165,28 +172,39 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """``doc_id, n_shingles, component_id`` per document."""
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     prefixes = _prefixes(rows, _levels(rows, n), n, percent)
+    which = stage(prefixes.select("id", "n", "node"), "which")
     nodes = stage(prefixes.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("o1").alias("o1"), F.first("o2").alias("o2"), F.first("o3").alias("o3")), "nodes")
-    postings = nodes.select("node", "n", F.explode("o1").alias("token"))
-    fits = lambda x, y: (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
-    hubs = postings.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("node", "n")).alias("hub")).where("many > 1").select("token", "hub")
-    shared = stage(postings.join(hubs, "token").select("token", "node", "n", "hub"), "postings")
-    star = shared.where((F.col("hub.node") != F.col("node")) & fits(F.col("n"), F.col("hub.n"))).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
-    star = stage(star, "stars")
+    unstage(prefixes)
+    release(docs.sparkSession)
+    postings = nodes.select("node", "n", F.posexplode("o1").alias("pos", "token"))
+    # an overlap of `least(x, y)` shingles is a link; the first shared token has that many tokens from it on, in both
+    least = lambda x, y: F.ceil((x + y) * percent / F.lit(100 + percent))
+    fits = lambda nx, px, ny, py: (px <= nx - least(nx, ny)) & (py <= ny - least(nx, ny))
+    hubs = postings.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("pos", "node", "n")).alias("hub")).where("many > 1").select("token", "hub")
+    shared = stage(postings.join(hubs, "token").select("token", "node", "n", "pos", "hub"), "postings")
+    release(docs.sparkSession)
+    star = shared.where((F.col("hub.node") != F.col("node")) & fits(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos")))
+    star = stage(star.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     links = _verified(star, nodes, rows, n, percent)
     label = stage(components(links), "labels")
-    lists = shared.select("token", "node", "n").join(label, "node", "left").select("token", "node", "n", F.coalesce("label", "node").alias("label"))
-    groups = lists.groupBy("token", "label").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    lists = shared.select("token", "node", "n", "pos").join(label, "node", "left").select("token", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
+    lists = stage(lists, "labelled-postings")
+    unstage(shared)
+    groups = lists.groupBy("token", "label").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("pos").alias("pos"))
     mixed = groups.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token")
     groups = stage(groups.join(mixed, "token"), "groups")
-    one, two = (groups.select("token", F.col("label").alias(f"{x}l"), F.col("least").alias(f"{x}0"), F.col("most").alias(f"{x}1")) for x in "ab")
-    overlap = (F.col("a1") * 100 >= F.col("b0") * percent) & (F.col("b1") * 100 >= F.col("a0") * percent)
-    across = one.join(two, (one["token"] == two["token"]) & (F.col("al") < F.col("bl")) & overlap).select(one["token"].alias("token"), "al", "bl")
-    member = lambda x: lists.select("token", F.col("label").alias(f"{x}l"), F.col("node").alias(x), F.col("n").alias(f"{x}n"))
-    pairs = across.join(member("a"), ["token", "al"]).join(member("b"), ["token", "bl"]).where(fits(F.col("an"), F.col("bn")))
+    one, two = (groups.select("token", F.col("label").alias(f"{x}l"), F.col("least").alias(f"{x}0"), F.col("most").alias(f"{x}1"), F.col("pos").alias(f"{x}p")) for x in "ab")
+    low = least(F.col("a0"), F.col("b0"))
+    overlap = (F.col("ap") <= F.col("a1") - low) & (F.col("bp") <= F.col("b1") - low)
+    across = one.join(two, (one["token"] == two["token"]) & (F.col("al") < F.col("bl")) & overlap).select(one["token"].alias("token"), "al", "bl", "a0", "b0")
+    member = lambda x: lists.select("token", F.col("label").alias(f"{x}l"), F.col("node").alias(x), F.col("n").alias(f"{x}n"), F.col("pos").alias(f"{x}p"))
+    # a side's members must fit the other side's least size before the sides meet
+    left = across.join(member("a"), ["token", "al"]).where(F.col("ap") <= F.col("an") - least(F.col("an"), F.col("b0"))).drop("a0", "b0")
+    pairs = left.join(member("b"), ["token", "bl"]).where(fits(F.col("an"), F.col("ap"), F.col("bn"), F.col("bp")))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = _verified(pairs, nodes, rows, n, percent)
     label = stage(components(links.union(more)), "labels")
-    placed = prefixes.select("id", "n", "node").join(label, "node", "left").select("id", "n", F.coalesce("label", "node").alias("label"))
+    placed = which.join(label, "node", "left").select("id", "n", F.coalesce("label", "node").alias("label"))
     placed = stage(placed, "placed")
     first = placed.where("label is not null").groupBy("label").agg(F.min("id").alias("component_id"))
     out = placed.join(first, "label", "left")

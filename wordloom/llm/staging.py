@@ -53,6 +53,14 @@ def maybe_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop shuffle files of frames that are no longer referred to."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 _shipped: set[str] = set()
 
 

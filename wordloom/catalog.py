@@ -1,6 +1,183 @@
-"""Registered queries and their DuckDB SQL."""
+"""Registered queries of the dictionary engine, and their DuckDB SQL.
+
+The dictionary is the vocabulary of all texts of ``documents``.  The query sets are the fixed benchmark words, and
+misspellings (middle byte deleted) of every ASCII word of 3 to 20 bytes of ``part.p_name``, ``nation.n_name`` and
+``benchmark.text``.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.distance import deletions, without_middle_byte
+from .operators import suggest
+from .operators.dictionary import Dictionary, limit_per_query, near_duplicates, ranked
+from .operators.statistics import automaton, states
+from .sources.words import from_list, text_words
+
+# The benchmark's query words, ten of a kind (one, two, three bytes off; common misspellings; invented words).
+BENCHMARK_WORDS = """
+algoritm definately occured seperate recieve accomodate goverment enviroment necesary developement
+algritm defnately ocured seprate receve acomodate govrnment envroment necesry devlopment
+algrtm defnatly ocred sepate recve acomodte govrment envrment necery devlpment
+teh wiht abuot becuase freind langauge libary mispell occassion restarant
+xyloquartz brontoflex quasimorph hypervolt neuroflux cryptoplasm megasphere ultraquench photonweb gravitrex
+""".split()
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_words(table(spark, sf_dir, "documents"))
+
+
+def vocabulary(spark: SparkSession, sf_dir: str) -> Dictionary:
+    return Dictionary.build(occurrences(spark, sf_dir))
+
+
+def misspelt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = (("part", "p_name"), ("nation", "n_name"), ("benchmark", "text"))
+    words = reduce(DataFrame.union, [text_words(table(spark, sf_dir, t), c) for t, c in columns]).distinct()
+    words = words.where((F.octet_length("word") == F.length("word")) & F.octet_length("word").between(3, 20))
+    return words.select(without_middle_byte(F.col("word")).alias("query")).distinct()
+
+
+def fixed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark words and the misspelt names of parts and nations."""
+    names = text_words(table(spark, sf_dir, "part"), "p_name").union(text_words(table(spark, sf_dir, "nation"), "n_name")).distinct()
+    names = names.where((F.octet_length("word") == F.length("word")) & F.octet_length("word").between(3, 20))
+    return from_list(spark, BENCHMARK_WORDS, "query").union(names.select(without_middle_byte(F.col("word")))).distinct()
+
+
+def fuzzy(queries, distance: int, **options):
+    return lambda spark, sf_dir: vocabulary(spark, sf_dir).fuzzy_join(queries(spark, sf_dir), "query", distance, **options)
+
+
+def found2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy(fixed_words, 2)(spark, sf_dir)
+
+
+def frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suggest.weighted(occurrences(spark, sf_dir), "word", threshold=2)
+
+
+def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suggest.with_frequency(found2(spark, sf_dir), suggest.weighted(occurrences(spark, sf_dir)))
+
+
+def osa_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = vocabulary(spark, sf_dir)
+    q = misspelt(spark, sf_dir)
+    swapped = words.fuzzy_join(q, "query", 1, "damerau")
+    return swapped.join(words.fuzzy_join(q, "query", 1), ["query", "word"], "left_anti")
+
+
+def special_queries(spark: SparkSession) -> DataFrame:
+    return from_list(spark, ["", "a", "é", "x" * 64, "x" * 65, "the" * 22], "query")
+
+
+def pairs_of_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "part"), "p_name", 3)
+
+
+QUERIES = {
+    "dict_build": lambda s, d: vocabulary(s, d).words,
+    "dict_sorted": lambda s, d: vocabulary(s, d).sorted(),
+    "word_filter_len": lambda s, d: vocabulary(s, d).words.where(F.octet_length("word") <= 12),
+    "contains_flag": lambda s, d: vocabulary(s, d).contains(misspelt(s, d)),
+    "members": lambda s, d: vocabulary(s, d).members(misspelt(s, d)),
+    "non_members": lambda s, d: vocabulary(s, d).non_members(misspelt(s, d)),
+    "fuzzy_d0": fuzzy(misspelt, 0),
+    "fuzzy_lev_d1": fuzzy(misspelt, 1),
+    "fuzzy_lev_d2": fuzzy(fixed_words, 2),
+    "fuzzy_lev_d3": fuzzy(fixed_words, 3),
+    "fuzzy_lev_d4": fuzzy(fixed_words, 4),
+    "fuzzy_lev_dfa_d2": fuzzy(fixed_words, 2, algorithm="dfa"),
+    "fuzzy_lev_deletions_d2": fuzzy(fixed_words, 2, strategy="deletions"),
+    "fuzzy_osa_d1": fuzzy(misspelt, 1, metric="damerau"),
+    "fuzzy_osa_d2": fuzzy(fixed_words, 2, metric="damerau"),
+    "osa_extra_over_lev": osa_extra,
+    "fuzzy_special_queries": lambda s, d: vocabulary(s, d).fuzzy_join(special_queries(s), "query", 2),
+    "fuzzy_limit_per_query": lambda s, d: limit_per_query(found2(s, d), 3),
+    "fuzzy_ranked": lambda s, d: ranked(found2(s, d)),
+    "weighted_dict": frequencies,
+    "suggest_closest": lambda s, d: suggest.closest(suggestions(s, d)),
+    "suggest_top": lambda s, d: suggest.top(suggestions(s, d)),
+    "near_dup_selfjoin": pairs_of_names,
+    "match_counts": lambda s, d: suggest.match_counts(found2(s, d), fixed_words(s, d)),
+    "match_summary": lambda s, d: suggest.summary(suggest.match_counts(found2(s, d), fixed_words(s, d)), "matches"),
+    "automaton_size": lambda s, d: automaton(vocabulary(s, d).words),
+    "automaton_degrees": lambda s, d: states(vocabulary(s, d).words).groupBy("degree").agg(F.count(F.lit(1)).alias("n_states")),
+    "deletion_keys": lambda s, d: misspelt(s, d).select("query", F.explode(deletions(F.col("query"), 1)).alias("key")),
+}
+
+_SPLIT = r"unnest(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'))"
+_OCC = f"occ AS (SELECT * FROM (SELECT {_SPLIT.format('text')} AS word FROM documents) WHERE word <> '')"
+_VOC = f"{_OCC}, voc AS (SELECT DISTINCT word FROM occ)"
+_CUT = "substr(word, 1, (length(word) // 2)::INT) || substr(word, (length(word) // 2)::INT + 2)"
+
+
+def _names(*columns: tuple[str, str]) -> str:
+    every = " UNION ALL ".join(f"SELECT {_SPLIT.format(c)} AS word FROM {t}" for t, c in columns)
+    return f"SELECT DISTINCT {_CUT} AS query FROM ({every}) WHERE strlen(word) = length(word) AND strlen(word) BETWEEN 3 AND 20"
+
+
+_MISS = "q AS (" + _names(("part", "p_name"), ("nation", "n_name"), ("benchmark", "text")) + ")"
+_LIST = ", ".join(f"('{w}')" for w in BENCHMARK_WORDS)
+_FIXED = f"q AS (SELECT DISTINCT query FROM (SELECT * FROM (VALUES {_LIST}) AS b(query) UNION ALL {_names(('part', 'p_name'), ('nation', 'n_name'))}))"
+
+
+def _fuzzy_sql(q: str, d: int) -> str:
+    return (
+        f"{_VOC}, {q}, found AS (SELECT query, word, levenshtein(query, word)::BIGINT AS distance FROM q JOIN voc ON abs(strlen(query) - strlen(word)) <= {d} "
+        f"WHERE strlen(query) <= 64 AND strlen(word) <= 255 AND word <> '' AND levenshtein(query, word) <= {d})"
+    )
+
+
+_SWAPS = """swaps AS (SELECT query, unnest(list_transform(range(1, strlen(query)), lambda i:
+    substr(hex(query), 1, (2 * i - 2)::INT) || substr(hex(query), (2 * i + 1)::INT, 2) || substr(hex(query), (2 * i - 1)::INT, 2) || substr(hex(query), (2 * i + 3)::INT))) AS h
+  FROM q WHERE strlen(query) BETWEEN 2 AND 64),
+swapped AS (SELECT DISTINCT query, word FROM swaps JOIN voc ON h = hex(word))"""
+_FREQ = "freq AS (SELECT word, count(*) AS frequency FROM occ GROUP BY word)"
+_SUGGEST = f"WITH {_fuzzy_sql(_FIXED, 2)}, {_FREQ}, sug AS (SELECT query, word, distance, frequency FROM found JOIN freq USING (word))"
+_STATES = f"""WITH {_VOC}, p AS (SELECT left(h, k::INT) AS prefix, substr(h, k::INT + 1) AS suffix FROM (SELECT hex(word) AS h, unnest(range(0, length(hex(word)) + 1, 2)) AS k FROM voc)),
+s AS (SELECT prefix, md5(string_agg(suffix, ',' ORDER BY suffix)) AS sig FROM p GROUP BY prefix),
+c AS (SELECT left(prefix, length(prefix) - 2) AS prefix, count(*) AS degree FROM s WHERE prefix <> '' GROUP BY 1),
+st AS (SELECT DISTINCT sig, coalesce(degree, 0) AS degree FROM s LEFT JOIN c USING (prefix))"""
+_SPECIAL = "q AS (SELECT * FROM (VALUES (''), ('a'), ('é'), (repeat('x', 64)), (repeat('x', 65)), (repeat('the', 22))) AS b(query))"
+_COUNTS = f"WITH {_fuzzy_sql(_FIXED, 2)}, m AS (SELECT q.query, count(found.word) AS matches FROM q LEFT JOIN found USING (query) GROUP BY q.query)"
+
+ORACLE_SQL = {
+    "dict_build": f"WITH {_VOC} SELECT word FROM voc",
+    "dict_sorted": f"WITH {_VOC} SELECT word FROM voc ORDER BY word",
+    "word_filter_len": f"WITH {_VOC} SELECT word FROM voc WHERE strlen(word) <= 12",
+    "contains_flag": f"WITH {_VOC}, {_MISS} SELECT query, query IN (SELECT word FROM voc) AS present FROM q",
+    "members": f"WITH {_VOC}, {_MISS} SELECT query FROM q WHERE query IN (SELECT word FROM voc)",
+    "non_members": f"WITH {_VOC}, {_MISS} SELECT query FROM q WHERE query NOT IN (SELECT word FROM voc)",
+    "fuzzy_d0": f"WITH {_VOC}, {_MISS} SELECT query, query AS word, 0::BIGINT AS distance FROM q WHERE query IN (SELECT word FROM voc)",
+    "fuzzy_lev_d1": f"WITH {_fuzzy_sql(_MISS, 1)} SELECT * FROM found",
+    "fuzzy_lev_d2": f"WITH {_fuzzy_sql(_FIXED, 2)} SELECT * FROM found",
+    "fuzzy_lev_d3": f"WITH {_fuzzy_sql(_FIXED, 3)} SELECT * FROM found",
+    "fuzzy_lev_d4": f"WITH {_fuzzy_sql(_FIXED, 4)} SELECT * FROM found",
+    "fuzzy_lev_dfa_d2": f"WITH {_fuzzy_sql(_FIXED, 2)} SELECT * FROM found",
+    "fuzzy_lev_deletions_d2": f"WITH {_fuzzy_sql(_FIXED, 2)} SELECT * FROM found",
+    "fuzzy_osa_d1": f"WITH {_fuzzy_sql(_MISS, 1)}, {_SWAPS} SELECT * FROM found UNION ALL SELECT query, word, 1::BIGINT FROM swapped ANTI JOIN found USING (query, word)",
+    "osa_extra_over_lev": f"WITH {_fuzzy_sql(_MISS, 1)}, {_SWAPS} SELECT query, word, 1::BIGINT AS distance FROM swapped ANTI JOIN found USING (query, word)",
+    "fuzzy_special_queries": f"WITH {_fuzzy_sql(_SPECIAL, 2)} SELECT * FROM found",
+    "fuzzy_limit_per_query": f"WITH {_fuzzy_sql(_FIXED, 2)} SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY query ORDER BY word) <= 3",
+    "fuzzy_ranked": f"WITH {_fuzzy_sql(_FIXED, 2)} SELECT * FROM found ORDER BY query, distance, word",
+    "weighted_dict": f"WITH {_OCC}, {_FREQ} SELECT * FROM freq WHERE frequency >= 2",
+    "suggest_closest": f"{_SUGGEST} SELECT * FROM sug QUALIFY rank() OVER (PARTITION BY query ORDER BY distance) = 1",
+    "suggest_top": f"{_SUGGEST} SELECT * FROM sug QUALIFY row_number() OVER (PARTITION BY query ORDER BY distance, frequency DESC, word) = 1",
+    "near_dup_selfjoin": "WITH n AS (SELECT DISTINCT p_name AS w FROM part WHERE p_name IS NOT NULL) SELECT x.w AS a, y.w AS b, levenshtein(x.w, y.w)::BIGINT AS distance FROM n x JOIN n y ON x.w < y.w WHERE levenshtein(x.w, y.w) <= 3 AND strlen(x.w) <= 64 AND strlen(y.w) <= 255",
+    "match_counts": f"{_COUNTS} SELECT query, matches FROM m",
+    "match_summary": f"{_COUNTS}, r AS (SELECT matches, row_number() OVER (ORDER BY matches) - 1 AS i, count(*) OVER () AS n FROM m) SELECT avg(matches) AS average, min(matches) FILTER (i >= floor(0.99::DOUBLE * (n - 1))) AS percentile FROM r",
+    "automaton_size": f"{_STATES} SELECT count(*)::BIGINT AS num_nodes, sum(degree)::BIGINT AS num_transitions, (64 + sum(1 + (degree >= 63)::BIGINT + 5 * degree))::BIGINT AS index_bytes FROM st",
+    "automaton_degrees": f"{_STATES} SELECT degree::BIGINT AS degree, count(*) AS n_states FROM st GROUP BY degree",
+    "deletion_keys": f"WITH {_MISS} SELECT DISTINCT query, key FROM (SELECT query, query AS key FROM q UNION ALL SELECT query, unnest(list_transform(range(1, length(query) + 1), lambda i: substr(query, 1, (i - 1)::INT) || substr(query, (i + 1)::INT))) FROM q)",
+}

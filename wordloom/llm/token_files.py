@@ -96,7 +96,7 @@ class Shard:
         self.content, self.body = content, at + 17 * docs + 8 * (n_blocks + 1)
 
     def ids(self, begin: int = 0, end: int | None = None) -> np.ndarray:
-        end = self.n_tokens if end is None else end
+        end = self.n_tokens if end is None else min(end, self.n_tokens)
         if end <= begin:
             return np.zeros(0, np.uint32)
         lo, hi = begin // self.block, -(-end // self.block)

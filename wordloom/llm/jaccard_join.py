@@ -190,17 +190,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lists = shared.select("token", "node", "n", "pos").join(label, "node", "left").select("token", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
     lists = stage(lists, "labelled-postings")
     unstage(shared)
-    groups = lists.groupBy("token", "label").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.min("pos").alias("pos"))
+    # by size too, so that a pair of groups meets only if a member of either fits one of the other
+    groups = lists.groupBy("token", "label", "n").agg(F.min("pos").alias("pos"))
     mixed = groups.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token")
     groups = stage(groups.join(mixed, "token"), "groups")
-    one, two = (groups.select("token", F.col("label").alias(f"{x}l"), F.col("least").alias(f"{x}0"), F.col("most").alias(f"{x}1"), F.col("pos").alias(f"{x}p")) for x in "ab")
-    low = least(F.col("a0"), F.col("b0"))
-    overlap = (F.col("ap") <= F.col("a1") - low) & (F.col("bp") <= F.col("b1") - low)
-    across = one.join(two, (one["token"] == two["token"]) & (F.col("al") < F.col("bl")) & overlap).select(one["token"].alias("token"), "al", "bl", "a0", "b0")
-    member = lambda x: lists.select("token", F.col("label").alias(f"{x}l"), F.col("node").alias(x), F.col("n").alias(f"{x}n"), F.col("pos").alias(f"{x}p"))
-    # a side's members must fit the other side's least size before the sides meet
-    left = across.join(member("a"), ["token", "al"]).where(F.col("ap") <= F.col("an") - least(F.col("an"), F.col("b0"))).drop("a0", "b0")
-    pairs = left.join(member("b"), ["token", "bl"]).where(fits(F.col("an"), F.col("ap"), F.col("bn"), F.col("bp")))
+    one, two = (groups.select("token", F.col("label").alias(f"{x}l"), F.col("n").alias(f"{x}n"), F.col("pos").alias(f"{x}p")) for x in "ab")
+    meet = (F.col("al") < F.col("bl")) & fits(F.col("an"), F.col("ap"), F.col("bn"), F.col("bp"))
+    across = one.join(two, (one["token"] == two["token"]) & meet).select(one["token"].alias("token"), "al", "an", "bl", "bn")
+    member = lambda x: lists.select("token", F.col("label").alias(f"{x}l"), F.col("n").alias(f"{x}n"), F.col("node").alias(x), F.col("pos").alias(f"{x}p"))
+    room = lambda x: F.col(f"{x}p") <= F.col(f"{x}n") - least(F.col("an"), F.col("bn"))
+    pairs = across.join(member("a"), ["token", "al", "an"]).where(room("a")).join(member("b"), ["token", "bl", "bn"]).where(room("b"))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = _verified(pairs, nodes, rows, n, percent)
     label = stage(components(links.union(more)), "labels")

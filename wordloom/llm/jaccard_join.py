@@ -202,8 +202,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pairs = across.join(member("a"), ["token", "al", "an"]).where(room("a")).join(member("b"), ["token", "bl", "bn"]).where(room("b"))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = _verified(pairs, nodes, rows, n, percent)
-    label = stage(components(links.union(more)), "labels")
+    # the components of the first links are the nodes of the graph that the later links join
+    under = label.select(F.col("node").alias("under"), "label")
+    ends = more.join(under.toDF("a", "la"), "a", "left").join(under.toDF("b", "lb"), "b", "left")
+    over = components(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))).toDF("label", "over")
     placed = which.join(label, "node", "left").select("id", "n", F.coalesce("label", "node").alias("label"))
+    placed = placed.join(stage(over, "over"), "label", "left").select("id", "n", F.coalesce("over", "label").alias("label"))
     placed = stage(placed, "placed")
     first = placed.where("label is not null").groupBy("label").agg(F.min("id").alias("component_id"))
     out = placed.join(first, "label", "left")

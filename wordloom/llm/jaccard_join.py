@@ -87,13 +87,13 @@ def _levels(rows: DataFrame, n: int) -> np.ndarray:
             for piece in slices(batch, "text"):
                 flat = np.concatenate(shingle_sets(piece.column("text"), n) or [np.zeros(0, np.uint64)])
                 total += np.bincount((flat & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint32)
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(CHUNKS), pa.int32()), "counts": pa.array([x.tobytes() for x in total.reshape(CHUNKS, width)], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(CHUNKS), pa.int32()), "counts": pa.array([pa.compress(x, codec="zstd", asbytes=True) for x in total.reshape(CHUNKS, width)], pa.binary())})
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts")):
-                sums[chunk] = sums.get(chunk, np.zeros(width, np.uint64)) + np.frombuffer(counts.as_py(), np.uint32)
+                sums[chunk] = sums.get(chunk, np.zeros(width, np.uint64)) + np.frombuffer(pa.decompress(counts.as_py(), 4 * width, codec="zstd"), np.uint32)
         level = [np.log2(np.maximum(x, 1).astype(np.float64)).astype(np.uint8).tobytes() for x in sums.values()]
         yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(sums), pa.int32()), "level": pa.array(level, pa.binary())})
 

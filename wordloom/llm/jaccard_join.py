@@ -180,14 +180,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # an overlap of `least(x, y)` shingles is a link; the first shared token has that many tokens from it on, in both
     least = lambda x, y: F.ceil((x + y) * percent / F.lit(100 + percent))
     fits = lambda nx, px, ny, py: (px <= nx - least(nx, ny)) & (py <= ny - least(nx, ny))
-    hubs = postings.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("pos", "node", "n")).alias("hub")).where("many > 1").select("token", "hub")
-    shared = stage(postings.join(hubs, "token").select("token", "node", "n", "pos", "hub"), "postings")
+    many = postings.groupBy("token").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("token")
+    shared = stage(postings.join(many, "token").select("token", "node", "n", "pos"), "postings")  # most tokens have one node only
     release(docs.sparkSession)
-    star = shared.where((F.col("hub.node") != F.col("node")) & fits(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos")))
+    hubs = shared.groupBy("token").agg(F.min(F.struct("pos", "node", "n")).alias("hub"))
+    star = shared.join(hubs, "token").where((F.col("hub.node") != F.col("node")) & fits(F.col("n"), F.col("pos"), F.col("hub.n"), F.col("hub.pos")))
     star = stage(star.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     links = _verified(star, nodes, rows, n, percent)
     label = stage(components(links), "labels")
-    lists = shared.select("token", "node", "n", "pos").join(label, "node", "left").select("token", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
+    lists = shared.join(label, "node", "left").select("token", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
     lists = stage(lists, "labelled-postings")
     unstage(shared)
     # by size too, so that a pair of groups meets only if a member of either fits one of the other

@@ -170,6 +170,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, perce
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
     """``doc_id, n_shingles, component_id`` per document."""
+    release(docs.sparkSession)
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     prefixes = _prefixes(rows, _levels(rows, n), n, percent)
     which = stage(prefixes.select("id", "n", "node"), "which")
@@ -206,10 +207,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # the components of the first links are the nodes of the graph that the later links join
     under = label.select(F.col("node").alias("under"), "label")
     ends = more.join(under.toDF("a", "la"), "a", "left").join(under.toDF("b", "lb"), "b", "left")
-    over = components(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))).toDF("label", "over")
+    over = stage(components(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))).toDF("label", "over"), "over")
     placed = which.join(label, "node", "left").select("id", "n", F.coalesce("label", "node").alias("label"))
-    placed = placed.join(stage(over, "over"), "label", "left").select("id", "n", F.coalesce("over", "label").alias("label"))
+    placed = placed.join(over, "label", "left").select("id", "n", F.coalesce("over", "label").alias("label"))
     placed = stage(placed, "placed")
+    for table in (which, nodes, lists, groups, star, links, label, more, over):
+        unstage(table)
+    release(docs.sparkSession)
     first = placed.where("label is not null").groupBy("label").agg(F.min("id").alias("component_id"))
     out = placed.join(first, "label", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))

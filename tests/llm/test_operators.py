@@ -103,6 +103,14 @@ def test_secrets(spark, none):
     assert redact_documents(none).count() == 0
 
 
+def test_redaction_keeps_clean_addresses(spark):
+    slug, pem = "https://example.com/2024/05/some-long-article-title-here", "k" + "A1b2" * 9
+    texts = [slug, f"read {slug} today", f"https://h.example/x {pem}", f"{slug} AKIA{'B' * 16}", f"https://h.example/{pem} {pem}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    red = {r["doc_id"]: r["text"] for r in redact_documents(df).collect()}
+    assert red == {0: texts[0], 1: texts[1], 2: "https://h.example/x [SECRET]", 3: "[SECRET] [SECRET]", 4: "https://h.example/" + pem + " [SECRET]"}
+
+
 def test_quality_rules(docs, none, rows):
     got = {r["doc_id"]: r for r in quality_rules(docs).collect()}
     for r in rows:

@@ -4,7 +4,8 @@ Base kinds are reported wherever they stand.  Two weak kinds are candidates only
 characters ``[A-Za-z0-9+/_-]`` with a digit and a letter that overlaps no base span, and ``endpoint``, an http(s)
 address.  Access identifiers, secrets and endpoints are joined by interval within a scope of ``scope`` code points
 in one document: a weak secret is reported if an access identifier or an endpoint lies that near, an endpoint
-if a base secret or an access identifier does.
+if a base secret or an access identifier does.  An endpoint counts for a weak secret that is a part of it, as the
+query's SQL says, unless ``own_address`` is off: ``redact_documents`` wants a partner apart from the weak secret.
 
 The interval join runs on exploded parts, keyed by document and cell (start div scope, and its neighbours), and only
 for documents that hold both a candidate and a partner.  A cell holds a bounded number of parts, as parts of
@@ -64,10 +65,11 @@ def written(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"].cast("string"), x["e"].cast("string"))))
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 200, carry: bool = False) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 200, carry: bool = False, own_address: bool = True) -> DataFrame:
     """One row per document: ``doc_id``, ``base`` and ``all_spans`` (sorted arrays of ``(s, k, e)``, code points, end exclusive).
 
-    With ``carry``, the whole input row comes along as the struct ``row``.
+    With ``carry``, the whole input row comes along as the struct ``row``.  Without ``own_address``, the endpoint that
+    a weak secret overlaps is no partner of it.
     """
     text = F.coalesce(docs[text_col], F.lit(""))
     key = F.md5(F.concat(F.coalesce(docs[id_col].cast("string"), F.lit("-")), F.lit("|"), text).cast("binary"))
@@ -96,6 +98,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     right = parts.where(F.col("p.k") != 3).select("s_key", F.col("p").alias("q"), F.explode(F.sequence(cell, F.floor((F.col("p.e") - 1) / scope))).alias("cell"))
     near = (F.col("q.s") - F.col("c.e") <= scope) & (F.col("c.s") - F.col("q.e") <= scope)
     fits = ((F.col("c.k") == 3) & F.col("q.k").isin(1, 4)) | ((F.col("c.k") == 4) & F.col("q.k").isin(0, 1, 2))
+    if not own_address:
+        fits = fits & ((F.col("c.k") != 3) | (F.col("q.e") <= F.col("c.s")) | (F.col("c.e") <= F.col("q.s")))
     hits = left.join(right, ["s_key", "cell"]).where(near & fits).groupBy("s_key").agg(F.collect_set("c").alias("more"))
     out = rows.join(hits, "s_key", "left")
     every = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", F.col("more").cast(SPAN))))
@@ -104,7 +108,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def redact_documents(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", mark: str = "[SECRET]", **params) -> DataFrame:
     """All documents; every reported span is replaced by ``mark`` (overlapping spans by one)."""
-    scanned = scan_secrets(docs, text_col=text_col, carry=True, **params)
+    scanned = scan_secrets(docs, text_col=text_col, carry=True, **({"own_address": False} | params))
     text = F.coalesce(F.col(f"row.{text_col}"), F.lit(""))
     cut = F.aggregate(
         "all_spans",

@@ -190,6 +190,17 @@ def test_quality_classifier(spark, none):
     assert [kth_largest(values, "v", k, bins=4) for k in (1, 14, 500)] == [36.0, 35.0, 0.0]
 
 
+def test_toxic_documents_are_rejected(spark):
+    rng = random.Random(8)
+    words = [f"alpha{k} beta{k % 7}" for k in range(50)]
+    toxic = [k % 5 == 0 for k in range(600)]
+    texts = [" ".join(rng.choices(words, k=60) + (["vile", "slur"] * 4 if t else [])) for t in toxic]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1, int(toxic[k])) for k in range(400)], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"]: r["kept"] for r in classify_quality(df, labels).collect()}
+    assert np.mean([kept[k] != toxic[k] for k in range(400, 600)]) > 0.97
+
+
 def ids_of(rows):
     from tokenizers import Tokenizer
 

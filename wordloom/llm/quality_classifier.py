@@ -7,12 +7,15 @@ document's log importance weight is the sum over its n-grams of log(target / raw
 replacement with probability in proportion to their weights: Gumbel noise is added to the log weights and the
 largest ``k`` sums are kept.  The noise is a function of the document, so reruns agree.
 
+A third model is fitted on documents labelled toxic whose quality is good, and smoothed like the target model.  A document whose
+scaled log(toxic / target) lies beyond the cut that best separates held-out toxic and good labels is not drawn.
+
 ``k`` is not a fixed number: it is the number of documents of the whole corpus whose log weight per square
 root of n-grams lies above the cut that best separates the sample's good and bad labels (mean of both recalls, a false
 rejection counting ``caution`` times); a third of the good sample is held out of the target model for that.  The same scaled weights are the resampling's log weights, at temperature
 ``temperature``.
 
-Bounds: only the target model and the cut are fitted on a sample of labelled rows, the ``sample_rows`` rows with
+Bounds: only the target and toxic models and the cuts are fitted on a sample of labelled rows, the ``sample_rows`` rows with
 the smallest hashes of the id (documented bound); it is broadcast.  Models have ``BUCKETS`` numbers.  The raw model counts
 all documents.  Scores are written once and read for the selection, whose exact k-th largest sum is found by
 histograms of fixed size.
@@ -59,30 +62,32 @@ def ngram_buckets(column) -> tuple[np.ndarray, np.ndarray]:
 def _label_sample(labels: DataFrame, id_col: str, sample_rows: int) -> DataFrame:
     rows = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull())
     good = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
-    rows = rows.groupBy(F.col(id_col).cast("long").alias("l_id")).agg(F.min(good.cast("int")).alias("good"), F.min("quality").alias("q"))
+    rows = rows.groupBy(F.col(id_col).cast("long").alias("l_id")).agg(F.min(good.cast("int")).alias("good"), F.min("quality").alias("q"), F.max("toxic").alias("toxic"))
     held = F.pmod(F.xxhash64(F.lit(1), "l_id"), F.lit(3)) == 0
-    kind = F.when((F.col("good") == 1) & held, 3).when(F.col("good") == 1, 1).when(F.col("q") == 0, 0).otherwise(2)
+    kind = F.when((F.col("good") == 1) & held, 3).when(F.col("good") == 1, 1).when(F.col("q") == 0, 0)
+    kind = kind.when((F.col("toxic") == 1) & held, 5).when(F.col("toxic") == 1, 4).otherwise(2)
     return rows.select("l_id", kind.alias("kind")).orderBy(F.xxhash64("l_id"), "l_id").limit(sample_rows)
 
 
-def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of buckets over all documents, and over the sample's good ones.  Two vectors of BUCKETS numbers leave each task."""
+def _counts(rows: DataFrame) -> np.ndarray:
+    """Counts of buckets over all documents, and over the sample's good and toxic ones.  Three vectors of BUCKETS numbers leave each task."""
 
     def count(batches):
-        total = np.zeros((2, BUCKETS), np.int64)
+        total = np.zeros((3, BUCKETS), np.int64)
         for batch in batches:
             for piece in slices(batch, "text"):
                 buckets, per = ngram_buckets(piece.column("text"))
                 total[0] += np.bincount(buckets, minlength=BUCKETS)
-                good = np.asarray(piece.column("kind").fill_null(-1)) == 1
-                total[1] += np.bincount(buckets[np.repeat(good, per)], minlength=BUCKETS)
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(np.repeat(np.arange(2), 64), pa.int32()), "part": pa.array(np.tile(np.arange(64), 2), pa.int32()), "n": pa.array(list(total.reshape(128, -1)), pa.list_(pa.int64()))})
+                kind = np.asarray(piece.column("kind").fill_null(-1))
+                for k, which in ((1, 1), (2, 4)):
+                    total[k] += np.bincount(buckets[np.repeat(kind == which, per)], minlength=BUCKETS)
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(np.repeat(np.arange(3), 64), pa.int32()), "part": pa.array(np.tile(np.arange(64), 3), pa.int32()), "n": pa.array(list(total.reshape(192, -1)), pa.list_(pa.int64()))})
 
     parts = arrow_map(rows, count, "chunk int, part int, n array<long>").select("chunk", "part", F.posexplode("n").alias("at", "n"))
-    summed = parts.groupBy("chunk", "part", "at").agg(F.sum("n").alias("n")).where("n > 0").toPandas()  # 2 * BUCKETS rows at most
-    out = np.zeros((2, BUCKETS), np.int64)
+    summed = parts.groupBy("chunk", "part", "at").agg(F.sum("n").alias("n")).where("n > 0").toPandas()  # 3 * BUCKETS rows at most
+    out = np.zeros((3, BUCKETS), np.int64)
     out[summed["chunk"], summed["part"] * (BUCKETS // 64) + summed["at"]] = summed["n"]
-    return out[0], out[1]
+    return out
 
 
 def best_cut(score: np.ndarray, good: np.ndarray, caution: float) -> float:
@@ -119,24 +124,25 @@ def kth_largest(rows: DataFrame, column: str, k: int, bins: int = 4096) -> float
 
 
 def importance_scores(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample_rows: int) -> DataFrame:
-    """Staged ``id, n, weight, kind``: scaled log importance weight of each document."""
+    """Staged ``id, n, weight, toxic, kind``: scaled log importance and toxic weights of each document."""
     sample = F.broadcast(stage(_label_sample(labels, id_col, sample_rows), "label-sample"))
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).join(sample, F.col("id") == F.col("l_id"), "left").select("id", "text", "kind")
-    raw, target = _counts(rows)
+    raw, *models = _counts(rows)
     raw_share = (raw + 0.5) / (raw.sum() + 0.5 * BUCKETS)
-    log_ratio = np.log((target + BUCKETS * raw_share) / (target.sum() + BUCKETS)) - np.log(raw_share)
-    shared = docs.sparkSession.sparkContext.broadcast(log_ratio)  # BUCKETS numbers
+    log_ratios = [np.log((model + BUCKETS * raw_share) / (model.sum() + BUCKETS)) - np.log(raw_share) for model in models]
+    log_ratios[1] -= log_ratios[0]
+    shared = docs.sparkSession.sparkContext.broadcast(log_ratios)  # 2 * BUCKETS numbers
 
     def score(batches):
-        table = shared.value
+        tables = shared.value
         for batch in batches:
             for piece in slices(batch, "text"):
                 buckets, per = ngram_buckets(piece.column("text"))
-                sums = np.append(0, np.cumsum(table[buckets]))[np.append(0, np.cumsum(per))]
-                weight = np.diff(sums) / np.sqrt(np.maximum(per, 1))
-                yield pa.RecordBatch.from_pydict({"id": piece.column("id"), "n": pa.array(per, pa.int64()), "weight": pa.array(weight, pa.float64()), "kind": piece.column("kind")})
+                ends = np.append(0, np.cumsum(per))
+                weight, toxic = (np.diff(np.append(0, np.cumsum(table[buckets]))[ends]) / np.sqrt(np.maximum(per, 1)) for table in tables)
+                yield pa.RecordBatch.from_pydict({"id": piece.column("id"), "n": pa.array(per, pa.int64()), "weight": pa.array(weight, pa.float64()), "toxic": pa.array(toxic, pa.float64()), "kind": piece.column("kind")})
 
-    return stage(arrow_map(rows, score, "id long, n long, weight double, kind int"), "quality-scores")
+    return stage(arrow_map(rows, score, "id long, n long, weight double, toxic double, kind int"), "quality-scores")
 
 
 def classify_quality(
@@ -151,13 +157,15 @@ def classify_quality(
 ) -> DataFrame:
     """``doc_id, log_weight, sum, kept`` per document (``sum``: log weight over temperature plus Gumbel noise, scaled back)."""
     scored = importance_scores(docs, labels, id_col, text_col, sample_rows)
-    known = scored.where(F.col("kind").isin(0, 3) & (F.col("n") > 0)).select("weight", "kind").toPandas()  # sample_rows rows at most, but for repeated ids
-    cut = best_cut(known["weight"].to_numpy(), known["kind"].to_numpy() == 3, caution)
+    known = scored.where(F.col("kind").isin(0, 3, 5) & (F.col("n") > 0)).select("weight", "toxic", "kind").toPandas()  # sample_rows rows at most, but for repeated ids
+    weight, toxic, kind = (known[c].to_numpy() for c in ("weight", "toxic", "kind"))
+    cut = best_cut(weight[kind != 5], kind[kind != 5] == 3, caution)
+    clean = (F.col("n") > 0) & (-F.col("toxic") >= F.lit(best_cut(-toxic[kind != 0], kind[kind != 0] == 3, caution)))
     uniform = (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
     noisy = scored.withColumn("sum", F.col("weight") - F.lit(temperature) * F.log(-F.log(uniform)))
-    k = scored.where((F.col("n") > 0) & (F.col("weight") >= F.lit(cut))).count()
-    least = kth_largest(noisy.where(F.col("n") > 0), "sum", k) if k else float("inf")
-    return noisy.select(F.col("id").alias(id_col), F.col("n").alias("n_grams"), F.col("weight").alias("log_weight"), "sum", ((F.col("n") > 0) & (F.col("sum") >= F.lit(least))).alias("kept"))
+    k = scored.where(clean & (F.col("weight") >= F.lit(cut))).count()
+    least = kth_largest(noisy.where(clean), "sum", k) if k else float("inf")
+    return noisy.select(F.col("id").alias(id_col), F.col("n").alias("n_grams"), F.col("weight").alias("log_weight"), "sum", (clean & (F.col("sum") >= F.lit(least))).alias("kept"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:

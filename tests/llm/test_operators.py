@@ -201,6 +201,22 @@ def test_toxic_documents_are_rejected(spark):
     assert np.mean([kept[k] != toxic[k] for k in range(400, 600)]) > 0.97
 
 
+def test_rows_of_a_null_id_have_fates_of_their_own(spark):
+    rng = random.Random(9)
+    good, bad = [f"alpha{k} beta{k % 7}" for k in range(50)], [f"zz{k} ### $$$" for k in range(50)]
+    texts = [" ".join(rng.choices(good if k % 4 else bad, k=60)) for k in range(300)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(None, " ".join(rng.choices(x, k=60))) for x in (good, bad) for _ in range(30)]
+    labels = spark.createDataFrame([(k, int(k % 4 > 0), 0) for k in range(300)], "doc_id long, quality int, toxic int")
+    kept = keep_quality(spark.createDataFrame(rows, "doc_id long, text string"), labels).where("doc_id is null").collect()
+    assert Counter("###" in r["text"] for r in kept) == {False: 30}
+    words = [f"w{k}" for k in range(60)]
+    copies = [" ".join([*words[:k], "changed", *words[k + 1 :]]) for k in (0, 59)] + [" ".join(words)]
+    rows = [(None, t) for t in [*copies, copies[0], "a text of its own stays", " ", ""]] + [(7, "one two three four"), (7, "five six seven eight"), (8, "one two three four")]
+    kept = [(r["doc_id"], r["text"]) for r in drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sum(t in copies for _, t in kept) == 1
+    assert sorted((str(i), t) for i, t in kept if t not in copies) == [("7", "five six seven eight"), ("7", "one two three four"), ("None", ""), ("None", " "), ("None", "a text of its own stays")]
+
+
 def ids_of(rows):
     from tokenizers import Tokenizer
 

@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytetools import hash_spans, mix, slices, spread, text_bytes, words
@@ -105,7 +105,7 @@ def _levels(rows: DataFrame, n: int) -> np.ndarray:
 
 
 def _prefixes(rows: DataFrame, levels: np.ndarray, n: int, percent: int) -> DataFrame:
-    """``id, n, node, o1 (longs), o2, o3 (ints)`` per document."""
+    """``id, key, n, node, o1 (longs), o2, o3 (ints)`` per document."""
     shared = rows.sparkSession.sparkContext.broadcast(levels)
 
     def cut(batches):
@@ -128,9 +128,9 @@ def _prefixes(rows: DataFrame, levels: np.ndarray, n: int, percent: int) -> Data
                     values = pa.array(tokens.view(np.int64)) if k == 0 else pa.array((mix(tokens ^ np.uint64(1)) >> np.uint64(32)).astype(np.uint32).view(np.int32))
                     columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(take)), pa.int32()), values))
                 nodes = pa.array([_node(x) if len(x) else None for x in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(sizes), nodes, *columns], names=["id", "n", "node", "o1", "o2", "o3"])
+                yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("key"), pa.array(sizes), nodes, *columns], names=["id", "key", "n", "node", "o1", "o2", "o3"])
 
-    return stage(arrow_map(rows, cut, "id long, n long, node long, o1 array<long>, o2 array<int>, o3 array<int>"), "prefixes")
+    return stage(arrow_map(rows, cut, "id long, key long, n long, node long, o1 array<long>, o2 array<int>, o3 array<int>"), "prefixes")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -168,12 +168,25 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, perce
     return links
 
 
+def row_key(docs: DataFrame) -> Column:
+    """Hash of all columns: tells rows of one id apart."""
+    return F.xxhash64(*[docs[c] for c in docs.columns])
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
     """``doc_id, n_shingles, component_id`` per document."""
+    placed = _placed(docs, id_col, text_col, n, percent)
+    first = placed.where("label is not null").groupBy("label").agg(F.min("id").alias("component_id"))
+    out = placed.join(first, "label", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    """Staged ``id, key, n, label`` per document; the label of its component is null without shingles."""
     release(docs.sparkSession)
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    rows = docs.select(docs[id_col].cast("long").alias("id"), row_key(docs).alias("key"), docs[text_col].alias("text"))
     prefixes = _prefixes(rows, _levels(rows, n), n, percent)
-    which = stage(prefixes.select("id", "n", "node"), "which")
+    which = stage(prefixes.select("id", "key", "n", "node"), "which")
     nodes = stage(prefixes.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("o1").alias("o1"), F.first("o2").alias("o2"), F.first("o3").alias("o3")), "nodes")
     unstage(prefixes)
     release(docs.sparkSession)
@@ -208,23 +221,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     under = label.select(F.col("node").alias("under"), "label")
     ends = more.join(under.toDF("a", "la"), "a", "left").join(under.toDF("b", "lb"), "b", "left")
     over = stage(components(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))).toDF("label", "over"), "over")
-    placed = which.join(label, "node", "left").select("id", "n", F.coalesce("label", "node").alias("label"))
-    placed = placed.join(over, "label", "left").select("id", "n", F.coalesce("over", "label").alias("label"))
+    placed = which.join(label, "node", "left").select("id", "key", "n", F.coalesce("label", "node").alias("label"))
+    placed = placed.join(over, "label", "left").select("id", "key", "n", F.coalesce("over", "label").alias("label"))
     placed = stage(placed, "placed")
     for table in (which, nodes, lists, groups, star, links, label, more, over):
         unstage(table)
     release(docs.sparkSession)
-    first = placed.where("label is not null").groupBy("label").agg(F.min("id").alias("component_id"))
-    out = placed.join(first, "label", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    return placed
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:
-    """One document of each component, that with the smallest id; rows that share id and all columns' values stay once.
+    """One row of each component: that with the smallest id, nulls last, and of these that with the smallest hash of all columns.
 
-    A component whose ids are all null keeps its null ids.
+    Rows without shingles stay; rows that share all columns' values stay once.
     """
-    found = jaccard_components(docs, id_col=id_col, **params)
-    stays = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("stay_id")).distinct()
-    kept = docs.join(stays, docs[id_col].cast("long").eqNullSafe(F.col("stay_id")), "left_semi")
+    placed = _placed(docs, id_col, **({"text_col": "text", "n": 4, "percent": 85} | params))
+    best = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("best")
+    stays = placed.where("label is not null").groupBy("label").agg(best).select(F.col("best.id").alias("stay_id"), F.col("best.key").alias("stay_key"))
+    stays = stays.union(placed.where("label is null").select("id", "key")).distinct()
+    kept = docs.join(stays, docs[id_col].cast("long").eqNullSafe(F.col("stay_id")) & (row_key(docs) == F.col("stay_key")), "left_semi")
     return kept.dropDuplicates()

@@ -22,14 +22,14 @@ histograms of fixed size.
 
 Edge cases: null and empty texts, and texts without n-grams, have weight 0 (the corpus average) and are rejected;
 without labels of both kinds all documents with text are kept; repeated rows share their noise and fate;
-sums equal to the k-th are all kept; ``keep_quality`` lets rows of one id share a fate.
+sums equal to the k-th are all kept; rows of one id share noise and labels, but not their fate, in ``keep_quality`` too.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytetools import SPACE, hash_spans, mix, runs, slices, spread, text_bytes
@@ -123,10 +123,14 @@ def kth_largest(rows: DataFrame, column: str, k: int, bins: int = 4096) -> float
     return lo
 
 
+def text_key(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
 def importance_scores(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample_rows: int) -> DataFrame:
-    """Staged ``id, n, weight, toxic, kind``: scaled log importance and toxic weights of each document."""
+    """Staged ``id, key, n, weight, toxic, kind``: scaled log importance and toxic weights of each document."""
     sample = F.broadcast(stage(_label_sample(labels, id_col, sample_rows), "label-sample"))
-    rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).join(sample, F.col("id") == F.col("l_id"), "left").select("id", "text", "kind")
+    rows = docs.select(docs[id_col].cast("long").alias("id"), text_key(docs[text_col]).alias("key"), docs[text_col].alias("text")).join(sample, F.col("id") == F.col("l_id"), "left").select("id", "key", "text", "kind")
     raw, *models = _counts(rows)
     raw_share = (raw + 0.5) / (raw.sum() + 0.5 * BUCKETS)
     log_ratios = [np.log((model + BUCKETS * raw_share) / (model.sum() + BUCKETS)) - np.log(raw_share) for model in models]
@@ -140,9 +144,9 @@ def importance_scores(docs: DataFrame, labels: DataFrame, id_col: str, text_col:
                 buckets, per = ngram_buckets(piece.column("text"))
                 ends = np.append(0, np.cumsum(per))
                 weight, toxic = (np.diff(np.append(0, np.cumsum(table[buckets]))[ends]) / np.sqrt(np.maximum(per, 1)) for table in tables)
-                yield pa.RecordBatch.from_pydict({"id": piece.column("id"), "n": pa.array(per, pa.int64()), "weight": pa.array(weight, pa.float64()), "toxic": pa.array(toxic, pa.float64()), "kind": piece.column("kind")})
+                yield pa.RecordBatch.from_pydict({"id": piece.column("id"), "key": piece.column("key"), "n": pa.array(per, pa.int64()), "weight": pa.array(weight, pa.float64()), "toxic": pa.array(toxic, pa.float64()), "kind": piece.column("kind")})
 
-    return stage(arrow_map(rows, score, "id long, n long, weight double, toxic double, kind int"), "quality-scores")
+    return stage(arrow_map(rows, score, "id long, key long, n long, weight double, toxic double, kind int"), "quality-scores")
 
 
 def classify_quality(
@@ -156,6 +160,11 @@ def classify_quality(
     seed: int = 7,
 ) -> DataFrame:
     """``doc_id, log_weight, sum, kept`` per document (``sum``: log weight over temperature plus Gumbel noise, scaled back)."""
+    return _fates(docs, labels, id_col, text_col, sample_rows, caution, temperature, seed).drop("key")
+
+
+def _fates(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str = "text", sample_rows: int = SAMPLE_ROWS, caution: float = 10.0, temperature: float = 0.02, seed: int = 7) -> DataFrame:
+    """``classify_quality`` with the hash of the text, ``key``, which tells rows of one id apart."""
     scored = importance_scores(docs, labels, id_col, text_col, sample_rows)
     known = scored.where(F.col("kind").isin(0, 3, 5) & (F.col("n") > 0)).select("weight", "toxic", "kind").toPandas()  # sample_rows rows at most, but for repeated ids
     weight, toxic, kind = (known[c].to_numpy() for c in ("weight", "toxic", "kind"))
@@ -165,10 +174,11 @@ def classify_quality(
     noisy = scored.withColumn("sum", F.col("weight") - F.lit(temperature) * F.log(-F.log(uniform)))
     k = scored.where(clean & (F.col("weight") >= F.lit(cut))).count()
     least = kth_largest(noisy.where(clean), "sum", k) if k else float("inf")
-    return noisy.select(F.col("id").alias(id_col), F.col("n").alias("n_grams"), F.col("weight").alias("log_weight"), "sum", (clean & (F.col("sum") >= F.lit(least))).alias("kept"))
+    return noisy.select(F.col("id").alias(id_col), "key", F.col("n").alias("n_grams"), F.col("weight").alias("log_weight"), "sum", (clean & (F.col("sum") >= F.lit(least))).alias("kept"))
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:
-    """The rows of ``docs`` whose id is kept."""
-    fate = classify_quality(docs, labels, id_col=id_col, **params).where("kept").select(F.col(id_col).alias("kept_id")).distinct()
-    return docs.join(fate, docs[id_col].eqNullSafe(fate["kept_id"]), "left_semi")
+def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+    """The rows of ``docs`` that are kept."""
+    fate = _fates(docs, labels, id_col, text_col, **params).where("kept").select(F.col(id_col).alias("kept_id"), F.col("key").alias("kept_key")).distinct()
+    same = docs[id_col].cast("long").eqNullSafe(fate["kept_id"]) & (text_key(docs[text_col]) == fate["kept_key"])
+    return docs.join(fate, same, "left_semi")

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from wordloom.llm import native_queries, substring_dedup
 from wordloom.llm.components import components
@@ -111,6 +112,14 @@ def test_redaction_keeps_clean_addresses(spark):
     assert red == {0: texts[0], 1: texts[1], 2: "https://h.example/x [SECRET]", 3: "[SECRET] [SECRET]", 4: "https://h.example/" + pem + " [SECRET]"}
 
 
+def test_equal_rows_are_linked_once(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "https://h.example/x k" + "A1b2" * 9)] * 40, "doc_id long, text string")
+    counts, join = [], DataFrame.join
+    monkeypatch.setattr(DataFrame, "join", lambda self, *a, **b: (out := join(self, *a, **b), counts.append(out.count()))[0])
+    assert len({r["all_spans"][0] for r in scan_secrets(df).collect()}) == 1
+    assert counts[-1] == 40 and max(counts) <= 40
+
+
 def test_quality_rules(docs, none, rows):
     got = {r["doc_id"]: r for r in quality_rules(docs).collect()}
     for r in rows:

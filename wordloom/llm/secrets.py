@@ -8,7 +8,7 @@ if a base secret or an access identifier does.  An endpoint counts for a weak se
 query's SQL says, unless ``own_address`` is off: ``redact_documents`` wants a partner apart from the weak secret.
 
 The interval join runs on exploded parts, keyed by document and cell (start div scope, and its neighbours), and only
-for documents that hold both a candidate and a partner.  A cell holds a bounded number of parts, as parts of
+for documents that hold both a candidate and a partner, equal rows once.  A cell holds a bounded number of parts, as parts of
 a kind do not overlap, so no document is large enough to skew it.
 
 Edge cases: null text is empty; equal rows share one key and one linking result; no rows give no rows.
@@ -91,7 +91,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     clear = F.filter("runs", lambda w: ~F.exists("base", lambda b: (b["s"] < w["e"]) & (w["s"] < b["e"])))
     rows = stage(rows.withColumn("weak", clear).drop("runs"), "secret-parts")
     both = ((F.size("weak") > 0) & ((F.size("ends") > 0) | F.exists("base", lambda b: b["k"] == 1))) | ((F.size("ends") > 0) & (F.size("base") > 0))
-    linked = rows.where(both).select("s_key", F.concat("base", "weak", "ends").alias("parts"))
+    linked = rows.where(both).select("s_key", F.concat("base", "weak", "ends").alias("parts")).dropDuplicates(["s_key"])
     parts = linked.select("s_key", F.explode("parts").alias("p"))
     cell = F.floor(F.col("p.s") / scope)
     left = parts.where(F.col("p.k") >= 3).select("s_key", F.col("p").alias("c"), F.explode(F.sequence(cell - 1, F.floor((F.col("p.e") - 1) / scope) + 1)).alias("cell"))

@@ -1,8 +1,13 @@
+import os
 import random
+import shutil
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
 
+from wordloom import catalog
 from wordloom.functions import distance as D
 from wordloom.operators import suggest
 from wordloom.operators.dictionary import Dictionary, InputNotSorted, limit_per_query
@@ -140,7 +145,16 @@ def test_stream(spark, tmp_path):
     assert spark.table("found").count() == len(brute(SMALL, ["cat", "carx"], 1))
 
 
-def test_entry_imports_without_optional_parts():
-    import __spark_entry__ as e
-
-    assert set(e.oracle_sql()) <= set(e.queries())
+@pytest.mark.parametrize("gone", [("wordloom/llm",), ("corpus_pipeline.py",), ("wordloom/llm", "corpus_pipeline.py"), ()])
+def test_entry_without_optional_parts(tmp_path, gone):
+    """The entry of a copy of the tree without the optional parts still lists the dictionary's queries."""
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    left_out = shutil.ignore_patterns(".git", "__pycache__", "tests", *[os.path.basename(x) for x in gone])
+    shutil.copytree(top, tmp_path / "tree", ignore=left_out)
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()); print(*e.queries())"
+    run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "tree", capture_output=True, text=True, timeout=120)
+    assert run.returncode == 0, run.stderr
+    names = run.stdout.split()
+    assert set(catalog.QUERIES) <= set(names)
+    if "wordloom/llm" in gone:
+        assert set(names) == set(catalog.QUERIES)

@@ -309,7 +309,10 @@ def test_base_patterns_on_random_texts():
             assert ((a, k, b) in got) == good
 
 
-def test_suffix_arrays():
+@pytest.mark.parametrize("mean", [1, 256, 1 << 40])
+def test_suffix_arrays(mean, monkeypatch):
+    """Levels by buckets, by either, and by positions."""
+    monkeypatch.setattr("wordloom.llm.suffix_array.BUCKET_MEAN", mean)
     rng = np.random.default_rng(4)
     for n, k in ((1, 1), (40, 1), (60, 2), (300, 3), (800, 200)):
         t = np.append(rng.integers(1, k + 1, n), 0)
@@ -323,9 +326,11 @@ def test_suffix_arrays():
             assert phi[here] == before and plcp[here] == c
 
 
-@pytest.mark.parametrize("hot", [8192, 0])
-def test_substring_dedup(spark, none, hot, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "HOT", hot)
+@pytest.mark.parametrize("group_bytes,piece_bytes", [(256 << 10, 1 << 20), (1500, 1500)])
+def test_substring_dedup(spark, none, group_bytes, piece_bytes, monkeypatch):
+    """Whole, and with groups split down and pieces smaller than the texts."""
+    monkeypatch.setattr(substring_dedup, "GROUP_BYTES", group_bytes)
+    monkeypatch.setattr(substring_dedup, "PIECE_BYTES", piece_bytes)
     rng = random.Random(6)
     random_text = lambda n: "".join(rng.choices("abcdeé ", k=n))
     passage = random_text(600)

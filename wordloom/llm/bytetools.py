@@ -14,10 +14,11 @@ _MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts (null: empty) followed by 8 zero bytes, and n + 1 offsets."""
+    """Bytes of all texts or binaries (null: empty) followed by 8 zero bytes, and n + 1 offsets."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
+    binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
+    column = column.cast(pa.large_binary()).fill_null(b"") if binary else column.cast(pa.large_string()).fill_null("")
     at = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     data = column.buffers()[2]
     out = np.zeros(int(at[-1] - at[0]) + 8, np.uint8)
@@ -29,13 +30,8 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
 def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
     """Parts of ``batch`` with about ``limit`` bytes of ``column`` each (one row at least)."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
-    ends = np.cumsum(sizes)
-    begin = 0
-    while begin < len(sizes):
-        done = ends[begin - 1] if begin else 0
-        end = max(begin + 1, int(np.searchsorted(ends, done + limit, side="right")))
-        yield batch.slice(begin, end - begin)
-        begin = end
+    for a, b in by_size(sizes, limit):
+        yield batch.slice(a, b - a)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -81,3 +77,20 @@ def spread(counts: np.ndarray) -> np.ndarray:
     """0..count-1 for each count, one after another."""
     total = int(counts.sum())
     return np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def gathered(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """``buf[starts[i]:ends[i]]`` as a binary array."""
+    sizes = ends - starts
+    data = buf[np.repeat(starts, sizes) + spread(sizes)]
+    at = np.append(0, np.cumsum(sizes)).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def by_size(sizes: np.ndarray, limit: int):
+    """Ranges ``(a, b)`` of neighbours whose sizes add up to about ``limit`` (one at least)."""
+    ends, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit, side="right")))
+        yield a, b
+        a = b

@@ -83,7 +83,12 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+#: Bytes of a batch sent to a Python worker (Spark counts rows besides; a single row may be larger).
+BATCH_BYTES = "4m"
+
+
 def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``df.mapInArrow`` with the package shipped to the workers."""
+    """``df.mapInArrow`` with the package shipped to the workers, in batches of about BATCH_BYTES."""
     ship(df.sparkSession)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df.mapInArrow(fn, schema)

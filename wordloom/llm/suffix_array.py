@@ -1,17 +1,19 @@
 """Suffix arrays by induced sorting, and permuted longest-common-prefix arrays, in numpy.
 
-Induction goes bucket by bucket over the alphabet.  What a bucket induces into itself is done in waves (one for each
-repetition of its symbol), everything else in one step per bucket, with the order of the scan kept by stable sorts.
+Every level of the recursion is sorted by induction.  Where buckets are large (bytes of a text), induction goes bucket by bucket: what
+a bucket induces into itself is done in waves (one for each repetition of its symbol), everything else in one step per
+bucket, with the order of the scan kept by stable sorts.  Where buckets are small (names of a deeper level, which are
+many), the scan goes position by position.  Both give the same array.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from .bytetools import hash_spans
+from .bytetools import spread
 
-#: Alphabets up to this size are sorted by buckets; the names of a deeper level, if there are more, by doubling of ranks.
-LARGEST_ALPHABET = 2048
+#: Mean symbols a bucket from which induction goes bucket by bucket; below, by position.  It decides speed only.
+BUCKET_MEAN = 256
 
 
 def _types(t: np.ndarray) -> np.ndarray:
@@ -82,23 +84,42 @@ def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, symbols: int) ->
     return np.concatenate([x for c in range(symbols) for x in (_joined(large[c]), _joined(lower[c])[::-1])])
 
 
-def _by_doubling(t: np.ndarray) -> np.ndarray:
-    rank = np.unique(t, return_inverse=True)[1].astype(np.int64)
-    step, n = 1, len(t)
-    while True:
-        ahead = np.zeros(n, np.int64)
-        ahead[: n - step] = rank[step:] + 1
-        key = rank * (n + 1) + ahead
-        order = np.argsort(key, kind="stable")
-        s = key[order]
-        new = np.append(0, np.cumsum(s[1:] != s[:-1]))
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n - 1:
-            return order
-        step *= 2
-        if step >= n:
-            return order
+def _induce_by_position(t: np.ndarray, small: np.ndarray, lms: np.ndarray, symbols: int) -> np.ndarray:
+    """What ``_induce`` gives, by a scan of the array from left to right and one from right to left."""
+    n = len(t)
+    counts = np.bincount(t, minlength=symbols)
+    ends = np.cumsum(counts)
+    order = lms[np.argsort(t[lms], kind="stable")]
+    per = np.bincount(t[order], minlength=symbols)
+    slots = np.full(n, -1, np.int64)
+    slots[np.repeat(ends - per, per) + spread(per)] = order
+    sa, symbol, is_small = slots.tolist(), t.tolist(), small.tolist()
+    heads, tails = (ends - counts).tolist(), ends.tolist()
+    for at in sa:  # the list grows to the right of where it is read
+        if at > 0 and not is_small[at - 1]:
+            c = symbol[at - 1]
+            sa[heads[c]] = at - 1
+            heads[c] += 1
+    for k in range(n - 1, -1, -1):
+        at = sa[k] - 1
+        if at >= 0 and is_small[at]:
+            c = symbol[at]
+            tails[c] -= 1
+            sa[tails[c]] = at
+    return np.array(sa, np.int64)
+
+
+def _differ(t: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each span of ``t`` but the first: is it another string than the one before it?"""
+    sizes = ends - starts
+    out = sizes[1:] != sizes[:-1]
+    same = np.nonzero(~out)[0]
+    if len(same):
+        size = sizes[same]
+        step = spread(size)
+        unequal = t[np.repeat(starts[same], size) + step] != t[np.repeat(starts[same + 1], size) + step]
+        out[same] = np.logical_or.reduceat(unequal, np.cumsum(size) - size)
+    return out
 
 
 def suffix_array(t: np.ndarray) -> np.ndarray:
@@ -108,27 +129,23 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     if n == 1:
         return np.zeros(1, np.int64)
     symbols = int(t.max()) + 1
-    if symbols > LARGEST_ALPHABET:
-        return _by_doubling(t)
+    induce = _induce if n >= BUCKET_MEAN * symbols else _induce_by_position
     small = _types(t)
     lms = np.nonzero(small[1:] & ~small[:-1])[0] + 1
+    order = induce(t, small, lms, symbols)
     if len(lms) <= 1:
-        return _induce(t, small, lms, symbols)
-    order = _induce(t, small, lms, symbols)
+        return order
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     order = order[is_lms[order]]
-    # name the substrings from one leftmost-smaller position to the next: equal hashes of content and length are equal names
+    # name the substrings from one leftmost-smaller position to the next, in their order; equal strings have equal names
     place = np.searchsorted(lms, order)
     ends = np.append(lms[1:] + 1, n)[place]
-    raw = np.zeros(2 * n + 8, np.uint8)
-    raw[: 2 * n] = t.astype("<u2").view(np.uint8)
-    h = hash_spans(raw, order * 2, ends * 2)
     names = np.empty(len(lms), np.int64)
-    names[place] = np.append(0, np.cumsum(h[1:] != h[:-1]))
+    names[place] = np.append(0, np.cumsum(_differ(t, order, ends)))
     if names.max() < len(lms) - 1:
         order = lms[suffix_array(names)]
-    return _induce(t, small, order, symbols)
+    return induce(t, small, order, symbols)
 
 
 def permuted_lcp(raw: np.ndarray, sa: np.ndarray, stride: int = 64) -> tuple[np.ndarray, np.ndarray]:

@@ -18,7 +18,8 @@ from wordloom.llm.jaccard_join import drop_near_duplicates, jaccard_components
 from wordloom.llm.mixing import mix_documents, weighted_mix
 from wordloom.llm.packing import cut_lengths, pack_documents
 from wordloom.llm.personal_data import TAGS, base_spans, chains, features, find_personal_data, labelled_table, trained_field
-from wordloom.llm.quality_classifier import best_cut, classify_quality, keep_quality, kth_largest
+from wordloom.llm.bytetools import hash_spans, mix
+from wordloom.llm.quality_classifier import BUCKETS, best_cut, classify_quality, keep_quality, kth_largest
 from wordloom.llm.quality_rules import quality_rules
 from wordloom.llm.secrets import redact_documents, scan_secrets, written
 from wordloom.llm.suffix_array import permuted_lcp, suffix_array
@@ -199,6 +200,55 @@ def test_quality_classifier(spark, none):
     assert [kth_largest(values, "v", k, bins=4) for k in (1, 14, 500)] == [36.0, 35.0, 0.0]
 
 
+def test_classifier_equals_brute_force(spark):
+    """Counts, weights, cuts, noise and the draw in plain Python; some documents near the cut are drawn against a plain threshold."""
+    from math import log, sqrt
+
+    rng = random.Random(12)
+    good, bad = [f"alpha{k}" for k in range(40)], [f"Beta{k} ##" for k in range(40)]
+    texts = [" ".join(rng.choice(good if rng.random() < (k % 5) / 4 else bad) for _ in range(1 + k % 9)) + (" vile SLUR" if k % 11 == 0 else "") for k in range(500)] + [None, "", "  "]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    labels = [(k, int(k % 5 > 2), int(k % 11 == 0)) for k in range(0, 503)]
+    got = {r["doc_id"]: r for r in classify_quality(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+
+    ids = spark.range(503)
+    held = {r[0]: r[1] % 3 == 0 for r in ids.select("id", F.xxhash64(F.lit(1), "id")).collect()}
+    noise = {r[0]: -log(-log((r[1] % (1 << 52) + 0.5) / (1 << 52))) for r in ids.select("id", F.xxhash64(F.lit(7), "id")).collect()}
+    kind = {k: 2 if x else int(q) for k, q, x in labels}
+    token = re.compile("[A-Za-z0-9]+|[^A-Za-z0-9 ]+")
+    one = lambda w: hash_spans(np.frombuffer(w.encode() + bytes(8), np.uint8), np.array([0]), np.array([len(w)]))
+
+    def grams(t):
+        h = [one(w) for w in token.findall(t or "")]
+        return [int(x[0]) % BUCKETS for x in h + [mix(a * np.uint64(3) ^ b) for a, b in zip(h, h[1:])]]
+
+    of = {k: grams(t) for k, t in enumerate(texts)}
+    raw, target = Counter(x for g in of.values() for x in g), Counter(x for k, g in of.items() if kind[k] == 1 and not held[k] for x in g)
+    r_all, t_all = sum(raw.values()), sum(target.values())
+    share = lambda x: (raw[x] + 0.5) / (r_all + 0.5 * BUCKETS)
+    weight = {k: sum(log((target[x] + BUCKETS * share(x)) / (t_all + BUCKETS)) - log(share(x)) for x in g) for k, g in of.items()}
+    words = {k: {w.lower() for w in token.findall(t or "")} for k, t in enumerate(texts)}
+    t_docs, g_docs = ([k for k in kind if kind[k] == x and not held[k]] for x in (2, 1))
+    seen = lambda w, docs: sum(w in words[k] for k in docs) + 0.5
+    mark = {w: log(seen(w, t_docs) / (len(t_docs) + 1)) - log(seen(w, g_docs) / (len(g_docs) + 1)) - 3 * sqrt(1 / seen(w, t_docs) + 1 / seen(w, g_docs)) for w in set().union(*words.values())}
+    toxic = {k: sum(max(mark[w], 0) for w in ws) for k, ws in words.items()}
+
+    def cut(score, low, high, sign):
+        pairs = sorted((sign * score[k], kind[k] == 1) for k in kind if kind[k] in (low, high) and held[k] and of[k])
+        n_good = sum(g for _, g in pairs)
+        losses = [10 * sum(g for _, g in pairs[:c]) / n_good + sum(not g for _, g in pairs[c:]) / (len(pairs) - n_good) for c in range(len(pairs) + 1)]
+        c = losses.index(min(losses))
+        return (pairs[c - 1][0] + pairs[c][0]) / 2 if c else -1e300
+
+    clean = [k for k in of if of[k] and -toxic[k] >= cut(toxic, 1, 2, -1)]
+    above = {k for k in clean if weight[k] >= cut(weight, 0, 1, 1)}
+    drawn = set(sorted(clean, key=lambda k: -(weight[k] + noise[k]))[: len(above)])
+    assert all(got[k]["log_weight"] == pytest.approx(weight[k], abs=1e-6) and got[k]["toxic_weight"] == pytest.approx(toxic[k], abs=1e-6) for k in of)
+    assert {k for k, r in got.items() if r["kept"]} == drawn
+    assert drawn != above and len(drawn & above) > 0.8 * len(above)
+    assert {0, 11, 22}.isdisjoint(drawn)
+
+
 def test_toxic_documents_are_rejected(spark):
     rng = random.Random(8)
     words = [f"alpha{k} beta{k % 7}" for k in range(50)]

@@ -84,9 +84,12 @@ SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0):
 FROM d LEFT JOIN b USING (row_id) LEFT JOIN a USING (row_id)
 """
 
-_FENCES = """SELECT {by}, measure, q25 - 3 * (q75 - q25) - margin AS low, q75 + 3 * (q75 - q25) + margin AS high FROM (
-  SELECT {by}, measure, quantile_disc(bin, 0.25) AS q25, quantile_disc(bin, 0.75) AS q75, any_value(margin) AS margin
-  FROM long GROUP BY {by}, measure HAVING count(*) >= 20)"""
+_BIN = "(({rate}) >> greatest(length(bin({rate})) - 7, 0)) << greatest(length(bin({rate})) - 7, 0)"
+
+
+def _bin_sql(top: str, size: str) -> str:
+    return f"CASE WHEN {size} > 0 THEN {_BIN.format(rate=f'({top} * 1000000 // greatest({size}, 1))::BIGINT')} ELSE 0 END"
+
 
 OP10_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, lang, source, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
@@ -98,18 +101,28 @@ m AS (SELECT doc_id, lang, source, d.row_id, len(w)::BIGINT AS n_words, length(a
    len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))::BIGINT AS n_lines,
    len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))))::BIGINT AS u_lines,
    coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN rep USING (row_id)),
-b AS (SELECT *, n_lines - u_lines AS n_dup_lines, CASE WHEN word_chars > 0 THEN n_symbols * 1000 // word_chars ELSE 0 END AS b_symbols,
-   CASE WHEN n_lines > 0 THEN (n_lines - u_lines) * 1000 // n_lines ELSE 0 END AS b_lines,
-   CASE WHEN n_words > 0 THEN word_chars * 10 // n_words ELSE 0 END AS b_length FROM m),
-long AS (SELECT lang, source, 'b_symbols' AS measure, b_symbols AS bin, 50 AS margin FROM b
-  UNION ALL SELECT lang, source, 'b_lines', b_lines, 200 FROM b UNION ALL SELECT lang, source, 'b_length', b_length, 20 FROM b),
-fine AS ({_FENCES.format(by="lang, source")}), wide AS ({_FENCES.format(by="lang")}),
-v AS (SELECT b.row_id, bool_or(coalesce(x.bin > coalesce(f.high, wd.high), false) OR (x.measure = 'b_length' AND coalesce(x.bin < coalesce(f.low, wd.low), false))) AS bad
-  FROM b CROSS JOIN LATERAL (SELECT unnest(['b_symbols', 'b_lines', 'b_length']) AS measure, unnest([b.b_symbols, b.b_lines, b.b_length]) AS bin) x
-  LEFT JOIN fine f ON f.lang IS NOT DISTINCT FROM b.lang AND f.source IS NOT DISTINCT FROM b.source AND f.measure = x.measure
-  LEFT JOIN wide wd ON wd.lang IS NOT DISTINCT FROM b.lang AND wd.measure = x.measure GROUP BY b.row_id)
+c0 AS (SELECT *, n_lines - u_lines AS n_dup_lines, coalesce('=' || lang, '') AS gl, coalesce('=' || source, '') AS gs FROM m),
+long AS (SELECT row_id, gl, gs, 'b_symbols' AS measure, n_symbols AS top, word_chars AS size, {_bin_sql("n_symbols", "word_chars")} AS bin FROM c0
+  UNION ALL SELECT row_id, gl, gs, 'b_lines', n_dup_lines, n_lines, {_bin_sql("n_dup_lines", "n_lines")} FROM c0
+  UNION ALL SELECT row_id, gl, gs, 'b_length', word_chars, n_words, {_bin_sql("word_chars", "n_words")} FROM c0),
+own AS (SELECT gl, gs, measure, bin, count(*)::HUGEINT AS c FROM long GROUP BY ALL),
+al AS (SELECT measure, bin, sum(c)::HUGEINT AS c FROM own GROUP BY ALL),
+na AS (SELECT measure, sum(c)::HUGEINT AS n_all FROM al GROUP BY measure),
+ol AS (SELECT gl, measure, bin, sum(c)::HUGEINT AS c FROM own GROUP BY ALL),
+nl AS (SELECT gl, measure, sum(c)::HUGEINT AS n_lang FROM ol GROUP BY ALL),
+lw AS (SELECT gl, measure, bin, sum(w)::HUGEINT AS w FROM (SELECT gl, measure, bin, c * n_all AS w FROM ol JOIN na USING (measure)
+  UNION ALL SELECT gl, measure, bin, 20 * c FROM nl JOIN al USING (measure)) GROUP BY ALL),
+gr AS (SELECT DISTINCT gl, gs, measure FROM own),
+gw AS (SELECT gl, gs, measure, bin, sum(w)::HUGEINT AS w FROM (
+  SELECT gl, gs, measure, bin, c * n_all * (n_lang + 20) AS w FROM own JOIN nl USING (gl, measure) JOIN na USING (measure)
+  UNION ALL SELECT gl, gs, measure, bin, 20 * w FROM gr JOIN lw USING (gl, measure)) GROUP BY ALL),
+rk AS (SELECT *, sum(w) OVER (PARTITION BY gl, gs, measure) AS total, sum(w) OVER (PARTITION BY gl, gs, measure ORDER BY bin) AS upto FROM gw),
+q AS (SELECT gl, gs, measure, min(bin) FILTER (upto * 100 >= total * 25) AS q25, min(bin) FILTER (upto * 100 >= total * 75) AS q75 FROM rk GROUP BY ALL),
+f AS (SELECT row_id, measure, top, greatest(q25 - 3 * (q75 - q25), 0) * size / 1000000.0::DOUBLE AS low, (q75 + 3 * (q75 - q25)) * size / 1000000.0::DOUBLE AS high
+  FROM long JOIN q USING (gl, gs, measure)),
+v AS (SELECT row_id, bool_or(top > high + 3 * sqrt(high + 1) OR (measure = 'b_length' AND top < low - 3 * sqrt(low + 1))) AS bad FROM f GROUP BY row_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
-  (NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT bad) AS kept FROM b JOIN v USING (row_id)
+  (NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT bad) AS kept FROM c0 JOIN v USING (row_id)
 """
 
 ORACLE_SQL = {"op1_source_mixing": OP1_SQL, "op7_secret_scan": OP7_SQL, "op10_quality_rules": OP10_SQL}

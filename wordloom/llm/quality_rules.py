@@ -1,11 +1,16 @@
 """Quality rules with adaptive thresholds (DataFrame functions only).
 
-Each document's measures are integer statistics of its whole text.  Three of them are binned to integers and
-counted per language, source and bin: these counts are a quantile sketch of bounded size per group, merged by
-addition, so the result depends on no order of tasks.  A document fails the method if a binned measure lies
-beyond ``q75 + 3 * (q75 - q25) + margin`` of its language and source (for mean word length also below the
-mirror fence).  Groups under ``min_group`` documents use the sketch merged over the language; languages under it
-have no adaptive rule.  The thresholds are joined back to the documents.
+Each document's measures are integer statistics of its whole text.  Three rates (symbols per character of words, equal lines per
+line, characters per word) have thresholds that come from the documents' own language and source alone: a sketch of the group's
+rates gives its quartiles, and the fences lie three quartile ranges beyond them.  No fence is a constant.  A document fails
+if its count lies beyond what the fence's rate explains for its size by more than ``DEVIATIONS`` Poisson deviations, so a
+short text does not fail by chance.  (Symbols and lines have an upper fence, characters per word both.)
+
+A sketch counts documents in log-linear bins: values under ``2 * STEPS`` have a bin each, larger ones ``STEPS`` bins for each power of two, so a
+quantile is off by 1/STEPS of its value at most, a sketch has at most ``STEPS * 58`` bins whatever its data, and sketches merge
+by addition; results depend on no order of tasks.  A group's sketch has ``PRIOR`` documents of its language's mixed in, and the
+language's as many of all documents': thresholds of small groups move smoothly to those of the larger ones, and every document is judged.
+The thresholds are joined back to the documents.
 
 Edge cases: null text has no words and fails the base rule; null language or source is a group of its own;
 equal rows give equal rows; no rows give no rows.
@@ -21,8 +26,12 @@ from .staging import maybe_broadcast, stage
 SPACE = r"[\x20\x09-\x0D]"
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
-#: Bins a document may lie beyond the fence: symbols per 1000 word characters, equal lines per 1000 lines, tenths of a character a word.
-MARGINS = {"b_symbols": 50, "b_lines": 200, "b_length": 20}
+#: Rates are counted per million; each has its count and size.
+PER = 1_000_000
+RATES = {"b_symbols": ("n_symbols", "word_chars"), "b_lines": ("n_dup_lines", "n_lines"), "b_length": ("word_chars", "n_words")}
+STEPS = 64
+PRIOR = 20
+DEVIATIONS = 3
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -76,46 +85,61 @@ def measured(docs: DataFrame, text_col: str, keep: list[Column]) -> DataFrame:
     )
 
 
-def _rate(top: Column, per: int, bottom: Column) -> Column:
-    return F.when(bottom > 0, F.floor(top * per / F.greatest(bottom, F.lit(1)))).otherwise(0).cast("long")
-
-
-def fences(binned: DataFrame, by: list[str], min_group: int) -> DataFrame:
-    """One row per group of at least ``min_group`` documents: low and high fences of each measure."""
-    stacked = ", ".join(f"'{m}', {m}" for m in MARGINS)
-    sketch = binned.select(*by, F.expr(f"stack({len(MARGINS)}, {stacked}) as (measure, bin)")).groupBy(*by, "measure", "bin").agg(F.count(F.lit(1)).alias("n"))
-    group = Window.partitionBy(*by, "measure")
-    ranks = sketch.withColumn("total", F.sum("n").over(group)).withColumn("upto", F.sum("n").over(group.orderBy("bin")))
+def rate_bin(top: Column, bottom: Column) -> Column:
+    """Lower end of the sketch's bin of ``top / bottom`` per million."""
+    rate = F.when(bottom > 0, F.floor(top * PER / F.greatest(bottom, F.lit(1)))).otherwise(0).cast("long")
+    return F.transform(F.array(rate), lambda v: F.call_function("shiftleft", F.call_function("shiftright", v, _drop(v)), _drop(v)))[0]
+
+
+def _drop(v: Column) -> Column:
+    """Low bits of ``v`` that its bin leaves out."""
+    return F.greatest(F.length(F.bin(v)) - F.lit((2 * STEPS - 1).bit_length()), F.lit(0))
+
+
+def fences(binned: DataFrame) -> DataFrame:
+    """``f_lang, f_source`` and a low and a high fence of each rate, one row per group of ``binned(k_lang, k_source, b_...)``."""
+    big = lambda c: F.col(c).cast("decimal(38,0)")
+    stacked = ", ".join(f"'{m}', {m}" for m in RATES)
+    own = binned.select("k_lang", "k_source", F.expr(f"stack({len(RATES)}, {stacked}) as (measure, bin)")).groupBy("k_lang", "k_source", "measure", "bin").agg(F.count(F.lit(1)).alias("c"))
+    own = stage(own, "quality-sketch")  # bounded for each group; all that follows reads it only
+    of_lang = own.groupBy("k_lang", "measure", "bin").agg(F.sum("c").alias("c"))
+    of_all = own.groupBy("measure", "bin").agg(F.sum("c").alias("c_all"))
+    groups = own.groupBy("k_lang", "k_source", "measure").agg(F.sum("c").alias("n"))
+    langs = of_lang.groupBy("k_lang", "measure").agg(F.sum("c").alias("n_lang"))
+    n_all = of_all.groupBy("measure").agg(F.sum("c_all").alias("n_all"))
+    langs = langs.join(n_all, "measure")
+    # a language's sketch in units of 1 / n_all documents: its own documents and PRIOR of all
+    lang = langs.join(of_all, "measure").select("k_lang", "measure", "bin", (big("c_all") * PRIOR).alias("w"))
+    lang = lang.union(of_lang.join(langs, ["k_lang", "measure"]).select("k_lang", "measure", "bin", (big("c") * big("n_all")).alias("w")))
+    lang = lang.groupBy("k_lang", "measure", "bin").agg(F.sum("w").cast("decimal(38,0)").alias("w"))
+    # a group's in units of 1 / (n_all * (n_lang + PRIOR)): its own documents and PRIOR of its language's sketch
+    group = groups.join(lang, ["k_lang", "measure"]).select("k_lang", "k_source", "measure", "bin", (big("w") * PRIOR).alias("w"))
+    scale = big("n_all") * (big("n_lang") + PRIOR)
+    group = group.union(own.join(langs, ["k_lang", "measure"]).select("k_lang", "k_source", "measure", "bin", (big("c") * scale).alias("w")))
+    group = group.groupBy("k_lang", "k_source", "measure", "bin").agg(F.sum("w").cast("decimal(38,0)").alias("w"))
+    whole = Window.partitionBy("k_lang", "k_source", "measure")
+    ranks = group.withColumn("total", F.sum("w").over(whole)).withColumn("upto", F.sum("w").over(whole.orderBy("bin")))
     quantile = lambda p: F.min(F.when(F.col("upto") * 100 >= F.col("total") * p, F.col("bin")))
-    q = ranks.where(F.col("total") >= min_group).groupBy(*by, "measure").agg(quantile(25).alias("q25"), quantile(75).alias("q75"))
+    q = ranks.groupBy("k_lang", "k_source", "measure").agg(quantile(25).alias("q25"), quantile(75).alias("q75"))
     spread = (F.col("q75") - F.col("q25")) * 3
-    margin = F.get(F.map_values(F.map_filter(F.create_map(*[F.lit(x) for p in MARGINS.items() for x in p]), lambda k, _: k == F.col("measure"))), F.lit(0))
-    q = q.select(*by, "measure", (F.col("q25") - spread - margin).alias("low"), (F.col("q75") + spread + margin).alias("high"))
-    return q.groupBy(*by).agg(*[F.max(F.when(F.col("measure") == m, F.col(e))).alias(f"{e}_{m}") for m in MARGINS for e in ("low", "high")])
+    q = q.select("k_lang", "k_source", "measure", F.greatest(F.col("q25") - spread, F.lit(0)).alias("low"), (F.col("q75") + spread).alias("high"))
+    edges = [F.max(F.when(F.col("measure") == m, F.col(e))).alias(f"{e}_{m}") for m in RATES for e in ("low", "high")]
+    return q.groupBy(F.col("k_lang").alias("f_lang"), F.col("k_source").alias("f_source")).agg(*edges)
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_group: int = 20) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """``doc_id``, the measures, ``base_failed`` and ``kept`` per document."""
-    keep = [docs[id_col].alias("k_id"), docs[lang_col].alias("k_lang"), docs[source_col].alias("k_source")]
+    named = lambda c: F.coalesce(F.concat(F.lit("="), docs[c].cast("string")), F.lit(""))  # noqa: E731  null is a group of its own
+    keep = [docs[id_col].alias("k_id"), named(lang_col).alias("k_lang"), named(source_col).alias("k_source")]
     rows = measured(docs, text_col, keep)
-    binned = stage(
-        rows.withColumn("b_symbols", _rate(F.col("n_symbols"), 1000, F.col("word_chars")))
-        .withColumn("b_lines", _rate(F.col("n_dup_lines"), 1000, F.col("n_lines")))
-        .withColumn("b_length", _rate(F.col("word_chars"), 10, F.col("n_words"))),
-        "quality-measures",
-    )
-    fine = stage(fences(binned, ["k_lang", "k_source"], min_group), "quality-fences")
-    wide = stage(fences(binned, ["k_lang"], min_group), "quality-fences")
-    edges = [f"{e}_{m}" for m in MARGINS for e in ("low", "high")]
-    fine = fine.select(F.col("k_lang").alias("f_lang"), F.col("k_source").alias("f_source"), *[F.col(c).alias(f"f_{c}") for c in edges])
-    wide = wide.select(F.col("k_lang").alias("w_lang"), *[F.col(c).alias(f"w_{c}") for c in edges])
-    joined = binned.join(maybe_broadcast(fine), F.col("k_lang").eqNullSafe(F.col("f_lang")) & F.col("k_source").eqNullSafe(F.col("f_source")), "left").join(
-        maybe_broadcast(wide), F.col("k_lang").eqNullSafe(F.col("w_lang")), "left"
-    )
-    edge = lambda c: F.coalesce(F.col(f"f_{c}"), F.col(f"w_{c}"))
+    binned = stage(rows.select("*", *[rate_bin(F.col(top), F.col(bottom)).alias(m) for m, (top, bottom) in RATES.items()]), "quality-measures")
+    edges = stage(fences(binned), "quality-fences")
+    joined = binned.join(maybe_broadcast(edges), (F.col("k_lang") == F.col("f_lang")) & (F.col("k_source") == F.col("f_source")), "left")
     out = F.lit(False)
-    for m in MARGINS:
-        out = out | F.coalesce(F.col(m) > edge(f"high_{m}"), F.lit(False))
-    out = out | F.coalesce(F.col("b_length") < edge("low_b_length"), F.lit(False))
+    for m, (top, bottom) in RATES.items():
+        high, low = (F.col(f"{e}_{m}") * F.col(bottom) / F.lit(float(PER)) for e in ("high", "low"))
+        out = out | (F.col(top) > high + DEVIATIONS * F.sqrt(high + 1))
+        if m == "b_length":
+            out = out | (F.col(top) < low - DEVIATIONS * F.sqrt(low + 1))
     base = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
     return joined.select(F.col("k_id").alias(id_col), *MEASURES, base.alias("base_failed"), (~base & ~out).alias("kept"))

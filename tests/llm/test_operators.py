@@ -105,6 +105,34 @@ def test_secrets(spark, none):
     assert redact_documents(none).count() == 0
 
 
+def test_sql_equals_queries_on_odd_rows(spark, rows, tmp_path):
+    """The DuckDB SQL of the DataFrame-only operators, on null, empty, repeated and linked rows that the tables lack."""
+    import duckdb
+
+    pem, slug = "k" + "A1b2" * 9, "https://example.com/2024/05/some-long-article-title-here"
+    linked = [f"AKIA{'B' * 16} near {pem}", f"{slug} alone", f"{slug} and {slug}", f"{slug} {pem}", f"{slug} AKIA{'C' * 20}", f"token=abcdefgh https://h.example/x {pem}", "a1" * 20 + " x" * 300 + " http://e.org",
+              "secret: abcdef1 " * 300 + slug, f"https://h.example/?api_key=abcdefgh{pem}", "é" * 50 + f" {pem} ftp https://é.org/" + "0" * 40]
+    every = [*rows, *[(1000 + k, t, "en", "a", 1, None, None, None, None) for k, t in enumerate(linked)], *[(1000, linked[0], "en", "a", 1, None, None, None, None)] * 3]
+    every += [(2000 + k, " ".join(["word"] * 3 + [f"w{j}" for j in range(k, k + 30)]) + " #" * (k % 9 == 0) * k, "de", f"s{k % 3}", 1, None, None, None, None) for k in range(90)]
+    spark.createDataFrame(every, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name, query in native_queries.QUERIES.items():
+        got = query(spark, str(tmp_path))
+        columns = sorted(got.columns)
+        want = Counter(con.execute(f"SELECT {', '.join(columns)} FROM ({native_queries.ORACLE_SQL[name]})").fetchall())
+        assert counted(got, *columns) == want, name
+        if name.startswith("op7"):
+            spans = "".join(r["spans"] for r in got.collect())
+            assert "weak:" in spans and "endpoint:" in spans
+
+
+def test_many_secrets_in_one_text(spark):
+    text = "token = abcdef1, " * 20_000
+    row = scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).select("all_spans").first()[0]
+    assert len(row) == 20_000 and (row[-1]["s"], row[-1]["e"]) == (17 * 19_999, 17 * 19_999 + 15)
+
+
 def test_redaction_keeps_clean_addresses(spark):
     slug, pem = "https://example.com/2024/05/some-long-article-title-here", "k" + "A1b2" * 9
     texts = [slug, f"read {slug} today", f"https://h.example/x {pem}", f"{slug} AKIA{'B' * 16}", f"https://h.example/{pem} {pem}"]

@@ -75,7 +75,7 @@ ends AS ({_spans_sql(4, '''https?://[^\\x20\\x09-\\x0D"''<>]+''', 0, "true")}),
 c AS (SELECT * FROM weak UNION ALL SELECT * FROM ends),
 q AS (SELECT * FROM base UNION ALL SELECT * FROM ends),
 more AS (SELECT c.* FROM c WHERE EXISTS (SELECT 1 FROM q WHERE q.row_id = c.row_id AND q.s - c.e <= 200 AND c.s - q.e <= 200
-   AND ((c.k = 3 AND q.k IN (1, 4)) OR (c.k = 4 AND q.k IN (0, 1, 2))))),
+   AND ((c.k = 3 AND (q.k = 1 OR (q.k = 4 AND NOT EXISTS (SELECT 1 FROM ends a WHERE a.row_id = c.row_id AND a.s < c.e AND c.s < a.e)))) OR (c.k = 4 AND q.k IN (0, 1, 2))))),
 b AS (SELECT row_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
         string_agg({_NAMES} || ':' || s || ':' || e, ',' ORDER BY s, k) AS base FROM base GROUP BY row_id),
 a AS (SELECT row_id, string_agg({_NAMES} || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans FROM (SELECT * FROM base UNION ALL SELECT * FROM more) GROUP BY row_id)

@@ -191,6 +191,36 @@ def test_jaccard_join(docs, none, rows):
     assert kept.columns == docs.columns and jaccard_components(none).count() == 0
 
 
+def test_clashing_and_map_columns(spark):
+    """Extra columns with our names, and of types that cannot be compared, come through."""
+    words = [f"w{k}" for k in range(60)]
+    near = " ".join([*words[:-1], "changed"])
+    rows = [(1, " ".join(words), 7, 8, 9, {"a": 1, "b": 2}), (2, near, 7, 8, 9, {"b": 2}), (3, "quite another text here", 7, 8, None, None), (3, "quite another text here", 7, 8, None, None), (None, None, 1, 1, 1, {})]
+    df = spark.createDataFrame(rows, "doc_id long, text string, stay_id long, stay_key long, label long, tags map<string,int>")
+    kept = drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted((str(r["doc_id"]), r["stay_id"], r["tags"]) for r in kept.collect()) == sorted([("1", 7, {"a": 1, "b": 2}), ("3", 7, None), ("None", 1, {})])
+
+
+def test_later_orders_reject_candidates(spark, monkeypatch):
+    """Pairs that share their rarest tokens but too few of the rest: the first order lets them meet, the others or the comparison reject them."""
+    import wordloom.llm.jaccard_join as J
+
+    rng = random.Random(2)
+    common = [f"c{k}" for k in range(30)]
+    texts = []
+    for g in range(12):
+        rare = [f"rare{g}_{k}" for k in range(12)]
+        for v in range(4):
+            texts.append(" ".join([*rare, *[f"own{g}_{v}_{k}" for k in range(20 * v)], *rng.sample(common, 5)]))
+    rows = [(k, t, "en", "a", len(t), "x", 1, 2, 3) for k, t in enumerate(texts)]
+    met = []
+    plain = J._verified
+    monkeypatch.setattr(J, "_verified", lambda pairs, *a: (met.append(pairs.count()), plain(pairs, *a))[1])
+    assert counted(jaccard_components(spark.createDataFrame(rows, SCHEMA), n=1, percent=60), "doc_id", "n_shingles", "component_id") == jaccard(rows, n=1, percent=60)
+    assert sum(met) > 0
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(50)] + [(100, k) for k in range(101, 140)] + [(200, 200)]
     got = counted(components(spark.createDataFrame(edges, "a long, b long")), "node", "label")

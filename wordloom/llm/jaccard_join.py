@@ -21,7 +21,7 @@ adaptive execution splits, never a group in one task.  Token counts are a sketch
 exact; collisions only make it less selective), sent as ``SKETCH`` bytes.  Nodes, tokens and sets are compared by 64-bit hashes.
 
 Edge cases: null, empty and blank texts have no shingles, and are their own component; texts of one to three words have one
-shingle; a null id is ignored as a component's smallest id unless all are null; no rows give no rows.
+shingle; a null id is ignored as a component's smallest id unless all are null; ids are cast to long; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from .components import components
 from .staging import arrow_map, release, stage, unstage
 
 SKETCH_BITS = 22
-CHUNKS = 64
+CHUNKS = 1024
 SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -134,7 +134,7 @@ def _prefixes(rows: DataFrame, levels: np.ndarray, n: int, percent: int) -> Data
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """``node, tokens`` of the wanted ``(id, node)``, one document a node, computed anew from its text."""
+    """``node, tokens`` of the wanted ``(key, node)``, one document a node, computed anew from its text."""
 
     def sets(batches):
         for batch in batches:
@@ -145,7 +145,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 at = np.append(0, np.cumsum([len(found[k]) for k in right])).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([piece.column("node").take(pa.array(right, pa.int64())), pa.ListArray.from_arrays(pa.array(at), pa.array(flat.view(np.int64)))], names=["node", "tokens"])
 
-    texts = docs.join(wanted.withColumnRenamed("id", "w_id"), F.col("id").eqNullSafe(F.col("w_id"))).select("text", "node")
+    texts = docs.join(wanted, "key").select("text", "node")  # a row's key is its own, null ids or not; equal rows share it
     return stage(arrow_map(texts, sets, "node long, tokens array<long>").dropDuplicates(["node"]), "sets")
 
 
@@ -159,7 +159,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, perce
     passed = pairs.join(side("a"), "a").join(side("b"), "b").where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3") & enough("2") & enough("3")).select("a", "b")
     passed = stage(passed, "candidates")
     wanted = passed.select(F.col("a").alias("node")).union(passed.select(F.col("b").alias("node"))).distinct()
-    sets = _sets_of(docs, wanted.join(nodes.select("node", "id"), "node"), n)
+    sets = _sets_of(docs, wanted.join(nodes.select("node", "key"), "node"), n)
     full = passed.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b").join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
     both = F.size(F.array_intersect("ta", "tb"))
     links = stage(full.where(both * 100 >= (F.size("ta") + F.size("tb") - both) * percent).select("a", "b"), "links")
@@ -169,8 +169,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, perce
 
 
 def row_key(docs: DataFrame) -> Column:
-    """Hash of all columns: tells rows of one id apart."""
-    return F.xxhash64(*[docs[c] for c in docs.columns])
+    """Hash of all columns: tells rows of one id apart.  Columns that hold maps are hashed as JSON, as maps cannot be."""
+    return F.xxhash64(*[F.to_json(F.struct(docs[f"`{f.name}`"])) if "map<" in f.dataType.simpleString() else docs[f"`{f.name}`"] for f in docs.schema])
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
@@ -187,7 +187,7 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -
     rows = docs.select(docs[id_col].cast("long").alias("id"), row_key(docs).alias("key"), docs[text_col].alias("text"))
     prefixes = _prefixes(rows, _levels(rows, n), n, percent)
     which = stage(prefixes.select("id", "key", "n", "node"), "which")
-    nodes = stage(prefixes.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("o1").alias("o1"), F.first("o2").alias("o2"), F.first("o3").alias("o3")), "nodes")
+    nodes = stage(prefixes.where("node is not null").groupBy("node").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("o1").alias("o1"), F.first("o2").alias("o2"), F.first("o3").alias("o3")), "nodes")
     unstage(prefixes)
     release(docs.sparkSession)
     postings = nodes.select("node", "n", F.posexplode("o1").alias("pos", "token"))
@@ -237,7 +237,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **params) -> D
     """
     placed = _placed(docs, id_col, **({"text_col": "text", "n": 4, "percent": 85} | params))
     best = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("best")
-    stays = placed.where("label is not null").groupBy("label").agg(best).select(F.col("best.id").alias("stay_id"), F.col("best.key").alias("stay_key"))
+    stays = placed.where("label is not null").groupBy("label").agg(best).select("best.id", "best.key")
     stays = stays.union(placed.where("label is null").select("id", "key")).distinct()
-    kept = docs.join(stays, docs[id_col].cast("long").eqNullSafe(F.col("stay_id")) & (row_key(docs) == F.col("stay_key")), "left_semi")
-    return kept.dropDuplicates()
+    # whole rows go in a struct, so that no name of theirs can clash
+    rows = docs.select(docs[id_col].cast("long").alias("id"), row_key(docs).alias("key"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    kept = rows.join(stays.toDF("stay_id", "stay_key"), F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("key") == F.col("stay_key")), "left_semi")
+    return kept.dropDuplicates(["id", "key"]).select("row.*")

@@ -5,12 +5,17 @@ import subprocess
 import sys
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from wordloom import catalog
+from wordloom.__main__ import main
 from wordloom.functions import distance as D
+from wordloom.functions.automaton import QueryAutomaton
+from wordloom.functions.distance import misspellings
 from wordloom.operators import suggest
-from wordloom.operators.dictionary import Dictionary, InputNotSorted, limit_per_query
+from wordloom.operators.dictionary import Dictionary, InputNotSorted, limit_per_query, near_duplicates
+from wordloom.plans.planner import choose
 from wordloom.sources.words import from_list, read_queries, read_words
 from wordloom.streaming.lookup import search_stream, variants
 
@@ -55,13 +60,90 @@ def test_random_distances(spark):
     assert all(r[2] == lev(r[0], r[1]) and r[3] == lev(r[0], r[1], True) for r in got)
 
 
-@pytest.mark.parametrize("strategy", ["broadcast", "deletions"])
+@pytest.mark.parametrize("strategy", ["lengths", "segments", "deletions"])
 @pytest.mark.parametrize("metric", ["levenshtein", "damerau"])
 def test_every_strategy_equals_brute_force(spark, strategy, metric):
-    queries = ["", "cat", "teh", "ab", "freind", "carx", "zzz", "algortihm", "x" * 65]
-    for d in (1, 2):
-        found = dictionary(spark, SMALL + SWAPS).fuzzy_join(from_list(spark, queries, "query"), "query", d, metric, strategy=strategy)
-        assert rows(found) == brute(SMALL + SWAPS, queries, d, metric == "damerau")
+    rng = random.Random(1)
+    odd = ["".join(rng.choices("abcé", k=rng.randrange(1, 14))) for _ in range(150)]
+    words = dictionary(spark, SMALL + SWAPS + odd)
+    queries = ["", "cat", "teh", "ab", "freind", "carx", "zzz", "algortihm", "x" * 65, *odd[:6], *[w[1::-1] + w[2:] for w in odd[6:10]]]
+    for d in (1, 2, 3):
+        found = words.fuzzy_join(from_list(spark, queries, "query"), "query", d, metric, strategy=strategy)
+        assert found.count() == len(rows(found))
+        assert rows(found) == brute(SMALL + SWAPS + odd, queries, d, metric == "damerau")
+
+
+def test_near_duplicates_of_any_length(spark):
+    words = [c + "b" * n for n in (61, 62, 63, 64, 65, 260) for c in ("", "a")]
+    want = {tuple(sorted((x, y))) + (n,) for x in words for y in words if x < y and (n := lev(x, y)) <= 2}
+    assert rows(near_duplicates(from_list(spark, words), "word", 2)) == want
+    assert rows(near_duplicates(from_list(spark, words), "word", 2, "damerau")) == want
+
+
+def test_planner():
+    assert choose(0, 10**9, 10**9) == "equal" and choose(2, 100, 10**5) == "lengths" and choose(2, 100, 10**5, "dfa") == "segments"
+    assert choose(2, 10**6, 10**9) == "deletions" and choose(3, 10**6, 10**9) == "segments"
+
+
+def test_many_queries_at_distance_three(spark):
+    """Beyond the broadcast limit: 20,000 queries, pieces against pieces."""
+    words = [f"{k:010d}" for k in range(0, 400_000, 40)]
+    queries = spark.range(20_000).select(F.format_string("%010d", F.col("id") * 997 % 400_000).alias("query"))
+    found = dictionary(spark, words[:300]).fuzzy_join(queries, "query", 1, strategy="segments")
+    sample = [r["query"] for r in queries.where("query in ('0000000040', '0000011964', '0000003988')").collect()]
+    assert rows(found.where(F.col("query").isin(sample))) == brute(words[:300], sample, 1)
+    with pytest.raises(ValueError):
+        dictionary(spark, words[:300]).fuzzy_join(queries, "query", 1, strategy="lengths")
+
+
+def test_batches_and_counters(spark):
+    words, seen = dictionary(spark, SMALL), Observation("seen")
+    asked = from_list(spark, ["cat", "bar"], "query")
+    batches = list(words.fuzzy_batches(asked, size=3, max_distance=1))
+    every = [r for b in batches for r in b]
+    assert set(every) == brute(SMALL, ["cat", "bar"], 1) and [len(b) for b in batches[:-1]] == [3] * (len(batches) - 1)
+    assert words.fuzzy_join(asked, "query", 1, counters=seen).count() == len(every)
+    assert seen.get["found"] == len(every) <= seen.get["candidates"]
+
+
+@pytest.mark.parametrize("metric", ["levenshtein", "damerau"])
+def test_automaton(metric):
+    words = SMALL + SWAPS + ["", "é", "acb", "xyz"]
+    for query in ("cat", "teh", "", "abc", "é"):
+        for d in range(4):
+            a = QueryAutomaton(query, d, metric)
+            assert a.num_states >= 1
+            for w in words:
+                n = lev(query, w, metric == "damerau")
+                assert a.distance(w) == (n if n <= d else None)
+                if n <= d:
+                    assert all(a.viable(w[:k]) for k in range(len(w) + 1))
+    assert not QueryAutomaton("cat", 1, metric).viable("zzz") and QueryAutomaton("cat", 1).num_states < QueryAutomaton("cat", 2).num_states
+
+
+def test_misspellings(spark):
+    words = from_list(spark, ["abc", "abcd", "ab", "x" * 21, "café", "zebra", "abc", "mouse"])
+    assert rows(misspellings(words)) == {("ac",), ("abd",), ("zera",), ("mose",)}
+    assert rows(misspellings(words, every=2)) == {("ac",), ("mose",)}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "words.txt").write_text("cat\ncar\ncart\nteh\n")
+    assert main(["build", str(tmp_path / "words.txt"), str(tmp_path / "dict")]) == 0
+    assert main(["query", str(tmp_path / "dict"), "cat", "--distance", "1"]) == 0
+    assert main(["query", str(tmp_path / "dict"), "the", "--metric", "damerau"]) == 0
+    out = capsys.readouterr().out.splitlines()
+    assert out == ["4 words", "3 words within 1 of cat", "d=0  cat", "d=1  car", "d=1  cart", "1 words within 1 of the", "d=1  teh"]
+
+
+def test_stored_dictionary_follows_its_table(spark, tmp_path):
+    """The stored dictionary is opened again for the same files, and built anew when they change."""
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame([("one two",)], "text string").coalesce(1).write.parquet(path)
+    first = catalog.vocabulary(spark, str(tmp_path)).words
+    assert catalog.vocabulary(spark, str(tmp_path)).words.inputFiles() == first.inputFiles() and rows(first) == {("one",), ("two",)}
+    spark.createDataFrame([("three",)], "text string").coalesce(1).write.mode("overwrite").parquet(path)
+    assert rows(catalog.vocabulary(spark, str(tmp_path)).words) == {("three",)}
 
 
 def test_limits_nulls_and_empty_word(spark):
@@ -104,12 +186,17 @@ def test_sorted_input(spark):
     assert Dictionary.build(from_list(spark, ["a", "b", "b", "c"]).coalesce(1), sort_input=False).n_words() == 3
     with pytest.raises(InputNotSorted):
         Dictionary.build(from_list(spark, ["b", "a"]).coalesce(1), sort_input=False)
+    parts = from_list(spark, ["c", "d"]).coalesce(1).union(from_list(spark, ["a", "b"]).coalesce(1))
+    with pytest.raises(InputNotSorted):
+        Dictionary.build(parts, sort_input=False)
+    assert Dictionary.build(from_list(spark, ["a", "b"]).coalesce(1).union(from_list(spark, ["b", "c"]).coalesce(1)), sort_input=False).n_words() == 3
 
 
 def test_files(spark, tmp_path):
     (tmp_path / "words.txt").write_bytes(b"cat\r\ncar\n\n" + b"x" * 70 + b"\n")
     (tmp_path / "queries.txt").write_text("# comment\ncat\n\nbat\n")
     assert rows(read_words(spark, str(tmp_path / "words.txt"), max_bytes=64)) == {("cat",), ("car",)}
+    assert [r[0] for r in read_words(spark, str(tmp_path / "words.txt"), max_words=2).collect()] == ["cat", "car"]
     assert rows(read_queries(spark, str(tmp_path / "queries.txt"))) == {("cat",), ("bat",)}
     path = str(tmp_path / "dict")
     dictionary(spark, SMALL).save(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 METRICS = ("levenshtein", "damerau")
@@ -13,6 +13,20 @@ def byte_text(word: Column) -> Column:
     return F.decode(F.encode(word, "utf-8"), "iso-8859-1")
 
 
+def letters(word_bytes: Column) -> Column:
+    """A bit for each byte value modulo 64 that a byte text holds.
+
+    An edit takes at most one bit away and adds at most one, and a swap none: texts within d edits lack at most d of each other's bits.
+    """
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(F.substring(word_bytes, i, 1)) % 64)
+    every = F.aggregate(F.sequence(F.lit(1), F.length(word_bytes)), F.lit(0).cast("long"), lambda acc, i: acc.bitwiseOR(bit(i)))
+    return F.when(F.length(word_bytes) > 0, every).otherwise(F.lit(0).cast("long"))
+
+
+def letters_within(a: Column, b: Column, d: int) -> Column:
+    return (F.bit_count(a.bitwiseAND(F.bitwise_not(b))) <= d) & (F.bit_count(b.bitwiseAND(F.bitwise_not(a))) <= d)
+
+
 def byte_length(word: Column) -> Column:
     return F.octet_length(word)
 
@@ -65,20 +79,55 @@ def osa(a: Column, b: Column) -> Column:
     return osa_bytes(byte_text(a), byte_text(b))
 
 
-def deletions(word_bytes: Column, d: int) -> Column:
-    """All texts that at most ``d`` deletions make of a byte text, itself included."""
+#: Bytes of a text whose deletion variants are made.
+PREFIX = 7
+
+
+def deletions(word_bytes: Column, d: int, prefix: int | None = PREFIX) -> Column:
+    """All texts that at most ``d`` deletions make of the first ``prefix`` bytes of a byte text (None: of all), themselves included.
+
+    Texts within d edits share one: an edit within both prefixes, or one that moves a byte over a prefix's end, costs either side one deletion.
+    """
 
     def once(w: Column) -> Column:
         cut = F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
         return F.when(F.length(w) > 0, cut).otherwise(F.array(w))
 
-    every = F.array(word_bytes)
+    every = F.array(word_bytes if prefix is None else F.substring(word_bytes, 1, prefix))
     for _ in range(d):
         every = F.array_distinct(F.concat(every, F.flatten(F.transform(every, once))))
     return every
 
 
+def segments(word_bytes: Column, parts: int) -> Column:
+    """``(part, text)`` of the ``parts`` even pieces of a byte text that has as many bytes at least."""
+    n = F.length(word_bytes)
+    at = lambda k: F.floor(n * k / parts).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda k: F.struct(k.alias("part"), F.substring(word_bytes, at(k) + 1, at(k + 1) - at(k)).alias("text")))
+
+
+def probes(word_bytes: Column, n: Column, parts: int, shift: int) -> Column:
+    """``(part, text)`` of all substrings that can be a piece of a text of ``n`` bytes moved by at most ``shift``."""
+    at = lambda k: F.floor(n * k / parts).cast("int")
+    moved = lambda k, j: F.struct(k.alias("part"), F.substring(word_bytes, at(k) + 1 + j, at(k + 1) - at(k)).alias("text"), (at(k) + j).alias("begin"), (at(k + 1) + j).alias("end"))
+    every = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda k: F.transform(F.sequence(F.lit(-shift), F.lit(shift)), lambda j: moved(k, j))))
+    inside = F.filter(every, lambda x: (x["begin"] >= 0) & (x["end"] <= F.length(word_bytes)))
+    return F.array_distinct(F.transform(inside, lambda x: F.struct(x["part"].alias("part"), x["text"].alias("text"))))
+
+
 def without_middle_byte(word: Column) -> Column:
     """``word`` (ASCII) without its middle byte: a misspelling generator."""
     half = F.floor(byte_length(word) / 2).cast("int")
     return F.concat(F.substring(word, F.lit(1), half), F.substring(word, half + 2, F.length(word)))
+
+
+def misspellings(words: DataFrame, column: str = "word", every: int = 1) -> DataFrame:
+    """``query``: different words of 3 to 20 ASCII bytes without their middle byte; of these words, in byte order, each ``every``-th."""
+    fit = words.select(F.col(column).alias("word")).where((F.octet_length("word") == F.length("word")) & F.octet_length("word").between(3, 20)).distinct()
+    if every > 1:
+        # numbers are a range's rows before it and the place in the range, so no task holds all words
+        placed = fit.repartitionByRange("word").sortWithinPartitions("word").select("word", F.spark_partition_id().alias("range"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
+        per = placed.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+        before = per.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))  # a row for each range
+        fit = placed.join(before, "range").where((F.col("before") + F.col("place")) % every == 0)
+    return fit.select(without_middle_byte(F.col("word")).alias("query")).distinct()

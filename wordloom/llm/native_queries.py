@@ -35,7 +35,7 @@ QUERIES = {"op1_source_mixing": op1_source_mixing, "op7_secret_scan": op7_secret
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP1_SQL = rf"""
-WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, text, '')) AS k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size,
         [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM d GROUP BY source),
 r AS (SELECT *, source_size::DOUBLE * 2.0::DOUBLE AS most, (source_size::DOUBLE * 2.0::DOUBLE) / w AS full_at,
@@ -43,13 +43,14 @@ r AS (SELECT *, source_size::DOUBLE * 2.0::DOUBLE AS most, (source_size::DOUBLE
 l AS (SELECT *, (budget - coalesce(sum(most) OVER (ORDER BY full_at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
         / sum(w) OVER (ORDER BY full_at, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
 c AS (SELECT level AS cut FROM l WHERE level <= full_at ORDER BY full_at, level LIMIT 1),
-t AS (SELECT source, source_size, coalesce(least(most, (SELECT cut FROM c) * w), most) AS target FROM l),
-q AS (SELECT d.doc_id, size, source_size, target,
-        (sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS begin
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  (greatest(0, least(floor(target - begin)::BIGINT, size)) + greatest(0, least(floor(target - (source_size + begin))::BIGINT, size)))::BIGINT AS taken
-FROM q
+t AS (SELECT source, source_size, w, coalesce(least(most, (SELECT cut FROM c) * w), most) AS target FROM l),
+q AS (SELECT row_number() OVER () AS row_id, d.doc_id, d.source, size, source_size, target, w,
+        (sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT AS upto
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT row_id, size, source, turn, (source_size * turn + upto)::DOUBLE / w AS finish FROM q JOIN (VALUES (0), (1)) AS x(turn) ON size > 0),
+o AS (SELECT row_id, size, (sum(size) OVER (ORDER BY finish, source NULLS LAST, turn ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS ahead FROM e),
+g AS (SELECT row_id, sum(greatest(0, least(size, (SELECT floor(sum(size) * 1.5)::BIGINT FROM q) - ahead)))::BIGINT AS taken FROM o GROUP BY row_id)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM q LEFT JOIN g USING (row_id)
 """
 
 

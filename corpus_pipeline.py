@@ -57,7 +57,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: A random choice (1), a fitted model (4) and a tokenizer (6) are beyond SQL.  No test calls ``run``; the operators are tested one by one.
+#: A fitted model (4) and a tokenizer (6) are beyond SQL: tests/llm/test_pipeline.py holds every stage and ``run`` against plain Python.
 ORACLE_SQL = None
 
 QUERIES = {"pipeline": run}

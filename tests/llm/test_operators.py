@@ -23,7 +23,7 @@ from wordloom.llm.quality_classifier import BUCKETS, best_cut, classify_quality,
 from wordloom.llm.quality_rules import quality_rules
 from wordloom.llm.secrets import redact_documents, scan_secrets, written
 from wordloom.llm.suffix_array import permuted_lcp, suffix_array
-from wordloom.llm.token_files import Shard, encode_shard, export_shards, read_token_shards, write_token_shards
+from wordloom.llm.token_files import Shard, encode_shard, read_token_shards, write_token_shards
 from wordloom.llm.tokens import vocabulary_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, row int, bucket int, key int"
@@ -349,15 +349,19 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-def test_token_files(docs, none, rows, tmp_path):
-    shards = write_token_shards(docs)
+def test_token_files(spark, docs, none, rows, tmp_path):
+    folder = write_token_shards(docs, f"file://{tmp_path}/out")
     want, at = Counter(), 0
     for r, ids in sorted(zip(rows, ids_of(rows)), key=lambda x: (x[0][0] is not None, x[0][0] or 0, x[0][1] or "")):
         want[(r[0], at, len(ids) + 1, crc([*ids, 2]))] += 1
         at += len(ids) + 1
-    assert counted(read_token_shards(shards), "doc_id", "start", "n_tokens", "ids_crc32") == want
-    assert export_shards(shards, str(tmp_path / "out")) == shards.count()
-    assert read_token_shards(write_token_shards(none)).count() == 0
+    assert counted(read_token_shards(spark, folder), "doc_id", "start", "n_tokens", "ids_crc32") == want
+    names = sorted(p.name for p in (tmp_path / "out").iterdir())
+    found = [Shard((tmp_path / "out" / n).read_bytes()) for n in names if n.endswith(".wlp")]
+    assert not [n for n in names if not n.endswith((".wlp", ".crc"))]
+    flat = [i for x in found for i in x.ids().tolist()]
+    assert len(flat) == at and sum(x.n_tokens for x in found) == at and flat.count(2) >= len(rows)
+    assert read_token_shards(spark, write_token_shards(none)).count() == 0
 
 
 @pytest.mark.parametrize("values", [[], [7], [2**32 - 1, 0, 1] * 700, list(range(2000)), [5] * 511 + [2**31]])

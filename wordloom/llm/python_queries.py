@@ -28,7 +28,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_token_shards(write_token_shards(documents(spark, sf_dir)))
+    return read_token_shards(spark, write_token_shards(documents(spark, sf_dir)))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

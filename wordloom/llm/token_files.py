@@ -1,31 +1,35 @@
 """Token-id files in patched frame-of-reference blocks, written in document order and read back.
 
-A shard holds about ``SHARD_TOKENS`` ids of consecutive documents: a header, the documents' ids and token counts,
+A file (shard) holds about ``SHARD_TOKENS`` ids of consecutive documents: a header, the documents' ids and token counts,
 the index of block starts, then blocks of ``BLOCK`` ids.  A block stores its minimum, and the differences packed at
 the width of their 90th percentile; larger differences stand in an exception list (positions and whole values).
-Spark writes the shards as rows of binary content, so they land on whatever file system holds the shared folder;
-``export_shards`` writes them as single files.
+Tasks write the files themselves to a folder of a file system that all executors reach (through pyarrow's file systems: file, hdfs, s3,
+gs), by default in the shared folder, each under a passing name first and then moved, so a task that runs twice leaves one
+whole file.  Names order the files.  They are read back by Spark's binary file source.
 
-Order: the texts are range-partitioned and sorted by id before encoding, so ids are never shuffled.  A document's start is
-the sum of its range's, its shard's and its own offsets; only per-range sums (one row a task) meet in one window.
+Order: the texts are range-partitioned and sorted by id (then text) before encoding, so ids are never shuffled.  A document's start is
+the sum of the tokens of the files before its own, from their headers, and its offset in its own; one row a file meets in one window.
 
-Edge cases: null text is empty and has only the end id; null ids come first; equal ids are ordered by text; a text
-longer than a shard makes a larger shard; no rows give no shards and no rows.
+Edge cases: null text is empty and has only the end id; null ids come first; equal ids are ordered by text, and ranges part them by its
+first 64 characters (rows equal in both stay together); a text longer than a file makes a larger file; no rows give no files and
+no rows; ids are cast to long.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bytetools import slices, text_bytes
-from .staging import arrow_map, maybe_broadcast, stage
+from .staging import arrow_map, maybe_broadcast, shared_dir, stage
 from .tokens import Encoder, vocabulary_path, with_end
 
 BLOCK = 512
@@ -80,6 +84,11 @@ def encode_shard(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray)
     )
 
 
+def tokens_of(content) -> int:
+    """Number of ids of a file, from its header."""
+    return _HEAD.unpack_from(content)[3]
+
+
 class Shard:
     """A shard read from its bytes; ``ids(a, b)`` decodes only the blocks that hold ids a to b."""
 
@@ -118,18 +127,30 @@ class Shard:
         return out.reshape(-1)[begin - lo * self.block : end - lo * self.block]
 
 
-def write_token_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
-    """The written shards: ``part, seq, n_tokens, content`` in ascending order of ids."""
+def _make_folder(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(at)
+
+
+def write_token_shards(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 2) -> str:
+    """Writes the files and returns their folder, a path that every executor reaches (by default a new one in the shared folder)."""
     tokenizer = tokenizer or vocabulary_path()
+    folder = folder or f"{shared_dir(docs.sparkSession)}/token-files-{uuid.uuid4().hex}"
+    _make_folder(docs.sparkSession, folder)
 
     def write(batches):
         encoder, part, seq = Encoder.of(tokenizer), TaskContext.get().partitionId(), 0
+        files, base = FileSystem.from_uri(folder)
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
         size = 0
 
         def flush():
             names, counts, ids = [d for h in held for d in h[0]], np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_tokens": pa.array([len(ids)], pa.int64()), "content": pa.array([encode_shard(names, counts, ids)], pa.binary())})
+            passing, name = f"{base}/.{uuid.uuid4().hex}", f"part-{part:08d}-{seq:08d}.wlp"
+            with files.open_output_stream(passing) as out:
+                out.write(encode_shard(names, counts, ids))
+            files.move(passing, f"{base}/{name}")
+            return pa.RecordBatch.from_pydict({"name": [name]})
 
         for batch in batches:
             for piece in slices(batch, "text"):
@@ -142,18 +163,24 @@ def write_token_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if held:
             yield flush()
 
-    ordered = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return stage(arrow_map(ordered, write, "part int, seq int, n_tokens long, content binary"), "token-shards")
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    ordered = rows.repartitionByRange("doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
+    arrow_map(ordered, write, "name string").write.format("noop").mode("overwrite").save()
+    return folder
+
 
+def read_token_shards(spark: SparkSession, folder: str, id_col: str = "doc_id") -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32`` per document, decoded from the files of ``folder``."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wlp").load(folder).select(F.regexp_extract("path", r"(part-\d+-\d+)\.wlp$", 1).alias("name"), "content")
 
-def read_token_shards(shards: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` per document, decoded from the shards."""
-    per = stage(shards.groupBy("part").agg(F.sum("n_tokens").alias("n")), "token-parts")
-    ahead = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = per.select(F.col("part").alias("b_part"), ahead(Window.orderBy("part"), "n").alias("base"))
-    at = shards.select("part", "seq", ahead(Window.partitionBy("part").orderBy("seq"), "n_tokens").alias("local")).join(maybe_broadcast(base, per.count()), F.col("part") == F.col("b_part"))
-    at = at.select(F.col("part").alias("a_part"), F.col("seq").alias("a_seq"), (F.col("base") + F.col("local")).alias("begin"))
-    placed = shards.join(maybe_broadcast(at), (F.col("part") == F.col("a_part")) & (F.col("seq") == F.col("a_seq")))
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array([tokens_of(x.as_buffer()) for x in batch.column("content")], pa.int64())], names=["name", "n"])
+
+    per = stage(arrow_map(files, sizes, "name string, n long"), "token-file-sizes")
+    ahead = F.coalesce(F.sum("n").over(Window.orderBy("name").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begins = per.select(F.col("name").alias("b_name"), ahead.alias("begin"))
+    placed = files.join(maybe_broadcast(begins, per.count()), F.col("name") == F.col("b_name"))
 
     def read(batches):
         for batch in batches:
@@ -165,16 +192,3 @@ def read_token_shards(shards: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 yield pa.RecordBatch.from_pydict({id_col: pa.array(shard.doc_ids, pa.int64()), "start": pa.array(starts + begin, pa.int64()), "n_tokens": pa.array(shard.counts, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
     return arrow_map(placed.select("content", "begin"), read, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long")
-
-
-def export_shards(shards: DataFrame, folder: str) -> int:
-    """Writes each shard as a file of ``folder`` (a path that the driver can open), one at a time."""
-    import os
-
-    os.makedirs(folder, exist_ok=True)
-    n = 0
-    for row in shards.orderBy("part", "seq").toLocalIterator():
-        with open(os.path.join(folder, f"{row['part']:06d}-{row['seq']:06d}.wlp"), "wb") as f:
-            f.write(row["content"])
-        n += 1
-    return n

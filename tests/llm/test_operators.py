@@ -13,7 +13,7 @@ from pyspark.sql.classic.dataframe import DataFrame
 
 from wordloom.llm import native_queries, substring_dedup
 from wordloom.llm.components import components
-from wordloom.llm.impact_index import exact_top_k
+from wordloom.llm.impact_index import Index, exact_scores, exact_top_k
 from wordloom.llm.jaccard_join import drop_near_duplicates, jaccard_components
 from wordloom.llm.mixing import mix_documents, weighted_mix
 from wordloom.llm.packing import cut_lengths, pack_documents
@@ -245,6 +245,24 @@ def test_top_k(spark):
     assert exact_top_k(df.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
+def test_index_stops_early_and_stays_exact():
+    rng = np.random.default_rng(1)
+    dense = rng.integers(-300, 300, (900, 12))
+    sparse = np.where(rng.random((900, 12)) < 0.15, (1000 / rng.random((900, 12)) ** 0.7).astype(np.int64), 0)
+    huge = rng.integers(-(1 << 28), 1 << 28, (300, 8))
+    for vectors, few in ((dense, 64), (sparse, 64), (huge, 64), (np.full((50, 3), 7), 8)):
+        ids = np.arange(len(vectors))
+        queries = np.maximum(vectors[:40], 0) if vectors is sparse else vectors[:40]
+        found, skipped = Index(vectors).search(queries, ids[:40], ids, 5, few)
+        for q, (members, scores) in enumerate(found):
+            exact = [sum(int(x) * int(y) for x, y in zip(v, queries[q])) for v in vectors]
+            assert list(zip(members.tolist(), scores.tolist())) == sorted(((k, s) for k, s in enumerate(exact) if k != q), key=lambda p: (-p[1], p[0]))[:5]
+        assert skipped > 0 or vectors is not sparse
+    assert exact_scores(np.full((1, 4), 1 << 30), np.full(4, 1 << 30)).tolist() == [1 << 62]
+    with pytest.raises(OverflowError):
+        exact_scores(np.full((1, 64), 1 << 30), np.full(64, 1 << 30))
+
+
 def test_quality_classifier(spark, none):
     rng = random.Random(1)
     good, bad = [f"alpha{k} beta{k % 7}" for k in range(50)], [f"zz{k} ### $$$" for k in range(50)]

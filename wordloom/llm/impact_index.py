@@ -3,19 +3,23 @@
 Vectors are integer (floor of ``scale`` times a component).  Each dimension gives two terms, one for queries that are positive there
 and one for negative ones; a posting's value is the component's distance from the block's least (or greatest)
 value of the dimension, so all impacts are non-negative and a score is their weighted sum plus a constant of the query.
-Values are quantised to ``LEVELS`` levels per block; a segment is the list of vectors of a term at one level.
+Values are quantised to ``LEVELS`` levels of the dimension's own range in the block; a segment is the list of vectors of a term at one level.
 
-A block's segments are processed from the highest level down, each for all queries at once.  After a level, what a
-vector can still gain is at most the level's upper value times the query's weights.  Members whose accumulated score plus that
-bound stay under the k-th best accumulated score cannot enter the top k; processing stops when few enough possible members are left
-(or all segments are done), and these are rescored exactly in integers.
+A block's segments are processed from the highest level down, for all queries at once that still need them.  After a level, what a
+vector can still gain is at most the level's upper value times the query's weights, summed over the terms.  Members whose accumulated score plus that
+bound stay under the k-th best accumulated score cannot enter the top k; a query stops when few enough possible members are left
+(or all segments are done), and these are rescored exactly in integers.  Accumulated scores are sums of integers in floating point, and
+exact as long as they stay below 2^53; beyond that, the bound is widened by their rounding.
 
-Blocks of vectors and blocks of queries meet once each, as rows of binary content; each meeting returns k rows a query,
-and the best k over all blocks are kept by rank.
+Blocks are built once, segments included, and stored; each block of queries meets each of them once, as rows of binary content, and
+returns k rows a query; the best k over all blocks are kept by rank.
+
+Vectors of many dimensions whose components are spread evenly leave little to stop early for: the bound sums over all terms, so the last levels decide.
+Sparse or skewed vectors stop early.  ``Index.search`` returns how many postings it skipped.
 
 Edge cases: null vectors and vectors with null or non-finite components take no part; shorter vectors count as if
 ended by zeros; ties go to the smaller id; repeated ids are repeated rows; a query excludes rows of its own id; no rows
-give no rows.  Components are exact up to 2^31 after scaling.
+give no rows.  Scores are exact as far as a long holds them: components beyond that range after scaling, and scores that may leave it, raise an error.
 """
 
 from __future__ import annotations
@@ -25,83 +29,109 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bytetools import spread
 from .staging import arrow_map, ship, stage
 
-LEVELS = 16
+LEVELS = 64
 VECTORS_PER_BLOCK = 4096
 QUERIES_PER_BLOCK = 512
 
 
+def exact_scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Integer inner products; by unbounded integers where 64 bits might not do."""
+    most = float(np.abs(vectors).max(initial=0)) * float(np.abs(query.astype(np.float64)).sum())
+    if most < 2.0**62:
+        return vectors @ query
+    found = vectors.astype(object) @ query.astype(object)
+    if any(not -(1 << 63) <= int(x) < 1 << 63 for x in found):
+        raise OverflowError("a score leaves the range of a long")
+    return np.array([int(x) for x in found], np.int64)
+
+
 class Index:
-    """Segments of one block of vectors."""
+    """Segments of one block of vectors: for each term, the vectors in order of their level, and where levels begin."""
 
-    def __init__(self, vectors: np.ndarray) -> None:
+    def __init__(self, vectors: np.ndarray, stored: tuple[np.ndarray, np.ndarray] | None = None) -> None:
         self.vectors = vectors.astype(np.int64)
         self.low, self.high = self.vectors.min(axis=0), self.vectors.max(axis=0)
-        span = np.maximum(int((self.high - self.low).max()), 1)
-        self.step = -(-(span + 1) // LEVELS)
-        # impacts of positive terms, then of negative terms; level l holds values from l * step to (l + 1) * step - 1
-        impact = np.concatenate([self.vectors - self.low, self.high - self.vectors], axis=1)
-        level = (impact // self.step).astype(np.int16)
-        self.segments: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(LEVELS)]
-        for term in range(level.shape[1]):
-            order = np.argsort(level[:, term], kind="stable")
-            cuts = np.searchsorted(level[order, term], np.arange(LEVELS + 1))
-            for at in range(LEVELS):
-                if cuts[at] < cuts[at + 1]:
-                    self.segments[at].append((term, order[cuts[at] : cuts[at + 1]]))
-
-    def search(self, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, few: int = 256) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Positions and scores of the best ``k`` vectors of each query other than those of its own id."""
-        n = len(self.vectors)
-        weights = np.concatenate([np.maximum(queries, 0), np.maximum(-queries, 0)], axis=1).astype(np.float32)
-        total = weights.sum(axis=1).astype(np.float64)
-        mine = np.ascontiguousarray(weights.T)
-        score = np.zeros((n, len(queries)), np.float32)
-        slack = total * self.step * LEVELS * 1e-5 + 1  # for sums of floats
+        self.step = -(-(self.high.astype(np.float64) - self.low + 1) // LEVELS)  # of each dimension
+        if stored is None:
+            # impacts of positive terms, then of negative terms; level l holds values from l * step to (l + 1) * step - 1
+            wide = self.vectors.astype(np.float64)
+            impact = np.concatenate([wide - self.low, self.high - wide], axis=1)
+            level = np.minimum(impact // np.tile(self.step, 2), LEVELS - 1).astype(np.int16)
+            order = np.argsort(level, axis=0, kind="stable").T.astype(np.uint16)
+            cuts = np.array([np.searchsorted(level[o, t], np.arange(LEVELS + 1)) for t, o in enumerate(order)], np.uint16)
+            stored = order, cuts
+        self.order, self.cuts = stored
+
+    def search(self, queries: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int, few: int = 64) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+        """Positions and scores of the best ``k`` vectors of each query other than those of its own id, and the number of skipped postings."""
+        n, dims = self.vectors.shape
+        wide = queries.astype(np.float64)
+        weights = np.concatenate([np.maximum(wide, 0), np.maximum(-wide, 0)], axis=1)
+        step = np.tile(self.step, 2)
+        reach = weights @ step  # of one level over all terms
+        # integers below 2^53 add up exactly; larger sums are off by their rounding at most
+        most = reach * LEVELS
+        slack = np.where(most < 2.0**53, 0.0, most * 2 * dims * 2.0**-50)
         need = min(n, k + 1)  # the query's own row may be among the best
+        live, possible, skipped = np.arange(len(queries)), [None] * len(queries), 0
+        mine, score = np.ascontiguousarray((weights * step).T), np.zeros((n, len(queries)))
         for at in range(LEVELS - 1, -1, -1):
-            for term, members in self.segments[at]:
-                if at:
-                    score[members] += mine[term] * np.float32(at * self.step)
-            if at > 4 and at % 2:
+            if at:
+                for term in range(2 * dims):
+                    a, b = self.cuts[term, at], self.cuts[term, at + 1]
+                    if a < b:
+                        score[self.order[term, a:b]] += mine[term] * at
+            if at and at % 8 and at > 4:
                 continue
-            # what a vector can gain: the rest of its quantised values, and of segments still to come
-            gain = total * (self.step - 1 if at == 0 else max(self.step - 1, at * self.step - 1)) + slack
+            # a vector can gain what it has of the levels to come, or what its own level leaves out
+            gain = reach[live] * max(at, 1) + slack[live]
             best = np.partition(score, n - need, axis=0)[n - need]
-            possible = score >= (best - gain)[None, :]
-            if at == 0 or (possible.sum(axis=0) <= few).all():
+            keep = score >= (best - gain)[None, :]
+            done = keep.sum(axis=0) <= few if at else np.ones(len(live), bool)
+            for q in np.nonzero(done)[0]:
+                possible[live[q]] = np.nonzero(keep[:, q])[0]
+            skipped += int(done.sum()) * int(self.cuts[:, at].sum(dtype=np.int64) - self.cuts[:, 1].sum(dtype=np.int64)) if at > 1 else 0
+            live, mine, score = live[~done], np.ascontiguousarray(mine[:, ~done]), score[:, ~done]
+            if not len(live):
                 break
-        repeats = n - len(np.unique(ids))
+        common = np.unique(ids, return_counts=True)
+        repeated = set(common[0][common[1] > 1].tolist())
         out = []
         for q in range(len(queries)):
-            if repeats and np.count_nonzero(ids == own[q]) > 1:
-                members = np.arange(n)
-            else:
-                members = np.nonzero(possible[:, q])[0]
+            # rows of the query's own id may fill the best places, so all others are scored
+            members = np.arange(n) if int(own[q]) in repeated else possible[q]
             members = members[ids[members] != own[q]]
-            exact = self.vectors[members] @ queries[q]
+            exact = exact_scores(self.vectors[members], queries[q].astype(np.int64))
             best_first = np.lexsort((ids[members], -exact))[:k]
             out.append((members[best_first], exact[best_first]))
-        return out
+        return out, skipped
 
 
-def _blocks(rows: DataFrame, per_block: int, n: int) -> DataFrame:
-    """Rows ``block, ids, width, vectors`` of about ``per_block`` vectors; a block has one width."""
+def _blocks(rows: DataFrame, per_block: int, n: int, index: bool) -> DataFrame:
+    """Rows ``block, ids, width, vectors, segments, cuts`` of about ``per_block`` vectors; a block has one width, and its index if asked."""
     blocks = max(1, -(-n // per_block))
 
     def block(table: pa.Table) -> pa.Table:
         ids = np.asarray(table.column("id").combine_chunks())
-        vectors = table.column("v").to_pylist()
-        width = max(map(len, vectors))
-        out = np.zeros((len(vectors), width), np.int64)
-        for k, v in enumerate(vectors):
-            out[k, : len(v)] = v
-        return pa.table({"block": table.column("block")[:1], "ids": [ids.astype("<i8").tobytes()], "width": pa.array([width], pa.int32()), "vectors": [out.astype("<i8").tobytes()]})
+        lists = table.column("v").combine_chunks()
+        sizes = np.asarray(lists.value_lengths())
+        out = np.zeros((len(ids), int(sizes.max())), np.int64)
+        out[np.repeat(np.arange(len(ids)), sizes), spread(sizes)] = np.asarray(lists.flatten())
+        parts = []
+        for part in np.array_split(np.arange(len(ids)), -(-len(ids) // (2 * per_block))):  # equal rows may make a block larger than meant
+            built = Index(out[part]) if index else None
+            content = (built.order.tobytes(), built.cuts.tobytes()) if index else (b"", b"")
+            parts.append((int(table.column("block")[0].as_py()), ids[part].astype("<i8").tobytes(), out.shape[1], out[part].astype("<i8").tobytes(), *content))
+        kinds = (pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*parts), kinds)], names=["block", "ids", "width", "vectors", "segments", "cuts"])
 
     ship(rows.sparkSession)
-    dealt = rows.select(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("block"), "id", "v")
-    return dealt.groupBy("block").applyInArrow(block, "block int, ids binary, width int, vectors binary")
+    # by the place in the stored table, so that equal rows and ids are dealt evenly
+    dealt = rows.select(F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int").alias("block"), "id", "v")
+    return dealt.groupBy("block").applyInArrow(block, "block int, ids binary, width int, vectors binary, segments binary, cuts binary")
 
 
 def _matrix(row) -> tuple[np.ndarray, np.ndarray]:
@@ -114,13 +144,14 @@ def exact_top_k(table: DataFrame, is_query, id_col: str = "vec_id", vector_col:
     vector = F.col("x").cast("array<double>")
     usable = F.col("id").isNotNull() & F.col("x").isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = table.select(table[id_col].cast("long").alias("id"), table[vector_col].alias("x")).where(F.coalesce(usable, F.lit(False)))
-    rows = rows.select("id", F.transform(vector, lambda x: F.floor(x * F.lit(scale)).cast("long")).alias("v")).where(F.size("v") > 0)
+    fits = lambda x: F.when(F.abs(x * F.lit(scale)) < F.lit(2.0**62), F.floor(x * F.lit(scale)).cast("long")).otherwise(F.raise_error(F.lit("a component leaves the range of a long")).cast("long"))
+    rows = rows.select("id", F.transform(vector, fits).alias("v")).where(F.size("v") > 0)
     rows = stage(rows, "vectors")
     asked = rows.where(is_query)
     n, q = rows.count(), asked.count()
-    index = stage(_blocks(rows, VECTORS_PER_BLOCK, n), "vector-blocks")
-    queries = stage(_blocks(asked, QUERIES_PER_BLOCK, q), "query-blocks")
-    side = lambda df, x: df.select(F.struct("ids", "width", "vectors").alias(x), F.col("block").alias(f"{x}_block"))
+    index = stage(_blocks(rows, VECTORS_PER_BLOCK, n, True), "index-blocks")
+    queries = stage(_blocks(asked, QUERIES_PER_BLOCK, q, False), "query-blocks")
+    side = lambda df, x: df.select(F.struct("ids", "width", "vectors", "segments", "cuts").alias(x), F.col("block").alias(f"{x}_block"))
     # every query block meets every index block once; both sides are rows of whole blocks
     pairs = side(index, "i").withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-q // QUERIES_PER_BLOCK)) - 1))))
     pairs = pairs.join(side(queries, "q"), F.col("to") == F.col("q_block")).select("i", "q").repartition(F.xxhash64("i.ids", "q.ids"))
@@ -128,11 +159,13 @@ def exact_top_k(table: DataFrame, is_query, id_col: str = "vec_id", vector_col:
     def search(batches):
         for batch in batches:
             for i, ask in zip(batch.column("i"), batch.column("q")):
-                ids, vectors = _matrix(i.as_py())
+                row = i.as_py()
+                ids, vectors = _matrix(row)
                 own, weights = _matrix(ask.as_py())
-                width = max(vectors.shape[1], weights.shape[1])
-                wide = lambda m: np.pad(m, ((0, 0), (0, width - m.shape[1])))  # noqa: B023, E731
-                found = Index(wide(vectors)).search(wide(weights), own, ids, k)
+                width = vectors.shape[1]  # beyond it the block's vectors hold zeros, so further components of a query count nothing
+                weights = np.pad(weights, ((0, 0), (0, max(0, width - weights.shape[1]))))[:, :width]
+                stored = np.frombuffer(row["segments"], np.uint16).reshape(2 * width, -1), np.frombuffer(row["cuts"], np.uint16).reshape(2 * width, -1)
+                found, _ = Index(vectors, stored).search(weights, own, ids, k)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "query_id": pa.array(np.repeat(own, [len(x) for x, _ in found])),

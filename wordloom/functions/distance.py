@@ -23,8 +23,17 @@ def letters(word_bytes: Column) -> Column:
     return F.when(F.length(word_bytes) > 0, every).otherwise(F.lit(0).cast("long"))
 
 
-def letters_within(a: Column, b: Column, d: int) -> Column:
-    return (F.bit_count(a.bitwiseAND(F.bitwise_not(b))) <= d) & (F.bit_count(b.bitwiseAND(F.bitwise_not(a))) <= d)
+def neighbours(word_bytes: Column) -> Column:
+    """A bit for each hash modulo 64 of two neighbouring bytes.  An edit takes at most two away and adds at most two, a swap three."""
+    code = lambda i: F.ascii(F.substring(word_bytes, i, 1))
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), (code(i) * 31 + code(i + 1) * 7) % 64)
+    every = F.aggregate(F.sequence(F.lit(1), F.length(word_bytes) - 1), F.lit(0).cast("long"), lambda acc, i: acc.bitwiseOR(bit(i)))
+    return F.when(F.length(word_bytes) > 1, every).otherwise(F.lit(0).cast("long"))
+
+
+def bits_within(a: Column, b: Column, most: int) -> Column:
+    """Do two sets of bits lack at most ``most`` of each other's?"""
+    return (F.bit_count(a.bitwiseAND(F.bitwise_not(b))) <= most) & (F.bit_count(b.bitwiseAND(F.bitwise_not(a))) <= most)
 
 
 def byte_length(word: Column) -> Column:

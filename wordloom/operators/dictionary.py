@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.distance import METRICS, byte_text, deletions, letters, letters_within, levenshtein_within, may_swap, osa_bytes, probes, segments
+from ..functions.distance import METRICS, bits_within, byte_text, deletions, letters, levenshtein_within, may_swap, neighbours, osa_bytes, probes, segments
 from ..plans.planner import ALGORITHMS, BROADCAST_QUERIES, STRATEGIES, choose
 from ..sources.words import read_dictionary, write_dictionary
 from . import statistics
@@ -34,7 +34,7 @@ def _ascends(words: DataFrame) -> bool:
 
 
 class Dictionary:
-    """Built from any string column; ``words`` is its only column's set.  ``keyed`` has ``word, n, mask`` (bytes, letters) as stored."""
+    """Built from any string column; ``words`` is its only column's set.  ``keyed`` has ``word, n, mask, pairs`` (bytes, letters, neighbours) as stored."""
 
     def __init__(self, words: DataFrame, keyed: DataFrame | None = None) -> None:
         self.words = words
@@ -119,10 +119,11 @@ class Dictionary:
                 raise ValueError("too many queries to broadcast")
         swaps = metric == "damerau"
         wide = min(2 * max_distance, MAX_DISTANCE) if swaps else max_distance
-        q = q.withColumn("qb", byte_text(F.col("query"))).withColumn("qn", F.length("qb")).withColumn("qmask", letters(F.col("qb")))
-        near = (F.abs(F.col("qn") - F.col("n")) <= max_distance) & letters_within(F.col("qmask"), F.col("mask"), max_distance)
+        q = q.withColumn("qb", byte_text(F.col("query"))).withColumn("qn", F.length("qb")).withColumn("qmask", letters(F.col("qb"))).withColumn("qpairs", neighbours(F.col("qb")))
+        w = w.withColumn("wb", byte_text(F.col("word")))
+        near = (F.abs(F.col("qn") - F.col("n")) <= max_distance) & bits_within(F.col("qmask"), F.col("mask"), max_distance)
+        near = near & bits_within(F.col("qpairs"), F.col("pairs"), (3 if swaps else 2) * max_distance)
         pairs = {"lengths": _by_lengths, "segments": _by_segments, "deletions": _by_deletions}[strategy](q, w, near, max_distance, wide)
-        pairs = pairs.select("query", "word", "qb", byte_text(F.col("word")).alias("wb"))
         if counters is not None:
             pairs = pairs.withColumn("plain", F.levenshtein("qb", "wb", wide))
             hits = (F.col("plain") >= 0) & (F.col("plain") <= max_distance)
@@ -164,14 +165,15 @@ class Dictionary:
 
 
 def keys_of(words: DataFrame) -> DataFrame:
-    """``word, n, mask``: words with their bytes and letters."""
-    return words.select("word", F.octet_length("word").alias("n"), letters(byte_text(F.col("word"))).alias("mask"))
+    """``word, n, mask, pairs``: words with their number of bytes, letters and neighbouring bytes."""
+    b = byte_text(F.col("word"))
+    return words.select("word", F.octet_length("word").alias("n"), letters(b).alias("mask"), neighbours(b).alias("pairs"))
 
 
 def _by_lengths(q: DataFrame, w: DataFrame, near, d: int, wide: int) -> DataFrame:
     """Every query is broadcast once for each byte length that it can meet; a word meets the queries of its own length only."""
-    at = q.withColumn("at", F.explode(F.sequence(F.greatest(F.col("qn") - d, F.lit(1)), F.col("qn") + d))) if d else q
-    return w.join(F.broadcast(at), (F.col("n") == F.col("at")) & near & (F.levenshtein("qb", byte_text(F.col("word")), wide) >= 0))
+    at = q.withColumn("at", F.explode(F.sequence(F.greatest(F.col("qn") - d, F.lit(1)), F.col("qn") + d)))
+    return w.join(F.broadcast(at), (F.col("n") == F.col("at")) & near & (F.levenshtein("qb", "wb", wide) >= 0)).select("query", "word", "qb", "wb")
 
 
 def _by_segments(q: DataFrame, w: DataFrame, near, d: int, wide: int) -> DataFrame:
@@ -180,21 +182,22 @@ def _by_segments(q: DataFrame, w: DataFrame, near, d: int, wide: int) -> DataFra
     Words shorter than that have no pieces; they meet queries by length.
     """
     parts = wide + 1
-    pieces = w.where(F.col("n") >= parts).select("word", "n", "mask", F.explode(segments(byte_text(F.col("word")), parts)).alias("s")).select("word", "n", "mask", "s.part", "s.text")
+    asks, has = ["query", "qb", "qn", "qmask", "qpairs"], ["word", "wb", "n", "mask", "pairs"]
+    pieces = w.where(F.col("n") >= parts).select(*has, F.explode(segments(F.col("wb"), parts)).alias("s")).select(*has, "s.part", "s.text")
     sizes = F.sequence(F.greatest(F.col("qn") - d, F.lit(parts)), F.greatest(F.col("qn") + d, F.lit(parts)))
-    asked = q.select("query", "qb", "qn", "qmask", F.explode(sizes).alias("at"))
-    asked = asked.select("query", "qb", "qn", "qmask", "at", F.explode(probes(F.col("qb"), F.col("at"), parts, d)).alias("s")).select("query", "qb", "qn", "qmask", "at", F.col("s.part").alias("q_part"), F.col("s.text").alias("q_text"))
-    long = pieces.join(asked, (F.col("n") == F.col("at")) & (F.col("part") == F.col("q_part")) & (F.col("text") == F.col("q_text")) & near).select("query", "word", "qb").distinct()
+    asked = q.select(*asks, F.explode(sizes).alias("at"))
+    asked = asked.select(*asks, "at", F.explode(probes(F.col("qb"), F.col("at"), parts, d)).alias("s")).select(*asks, "at", F.col("s.part").alias("q_part"), F.col("s.text").alias("q_text"))
+    long = pieces.join(asked, (F.col("n") == F.col("at")) & (F.col("part") == F.col("q_part")) & (F.col("text") == F.col("q_text")) & near).select("query", "word", "qb", "wb").distinct()
     short = w.where(F.col("n") < parts)
     brief = q.where(F.col("qn") < parts + d).withColumn("at", F.explode(F.sequence(F.greatest(F.col("qn") - d, F.lit(1)), F.col("qn") + d)))
-    return long.union(short.join(brief, (F.col("n") == F.col("at")) & near).select("query", "word", "qb"))
+    return long.union(short.join(brief, (F.col("n") == F.col("at")) & near).select("query", "word", "qb", "wb"))
 
 
 def _by_deletions(q: DataFrame, w: DataFrame, near, d: int, wide: int) -> DataFrame:
     """Both sides have a row for each deletion variant of their prefixes, a bounded number a word at any length."""
     asked = q.withColumn("q_key", F.explode(deletions(F.col("qb"), d)))
-    known = w.withColumn("w_key", F.explode(deletions(byte_text(F.col("word")), d)))
-    return asked.join(known, (F.col("q_key") == F.col("w_key")) & near).select("query", "word", "qb").distinct()
+    known = w.withColumn("w_key", F.explode(deletions(F.col("wb"), d)))
+    return asked.join(known, (F.col("q_key") == F.col("w_key")) & near).select("query", "word", "qb", "wb").distinct()
 
 
 def limit_per_query(found: DataFrame, n: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FORMAT, VERSION = "wordloom-dictionary", 2
+FORMAT, VERSION = "wordloom-dictionary", 3
 
 
 def read_words(spark: SparkSession, path: str, max_bytes: int | None = None, max_words: int | None = None) -> DataFrame:
@@ -39,8 +39,8 @@ def text_words(docs: DataFrame, column: str = "text") -> DataFrame:
 
 
 def write_dictionary(keyed: DataFrame, path: str, overwrite: bool = True) -> None:
-    """Stores ``word, n, mask`` as Parquet with a format mark, words of a length together; raises ValueError if the path cannot be written."""
-    marked = keyed.select("word", "n", "mask", F.lit(FORMAT).alias("format"), F.lit(VERSION).alias("version"))
+    """Stores ``word, n, mask, pairs`` as Parquet with a format mark, words of a length together; raises ValueError if the path cannot be written."""
+    marked = keyed.select("word", "n", "mask", "pairs", F.lit(FORMAT).alias("format"), F.lit(VERSION).alias("version"))
     try:
         marked.sortWithinPartitions("n", "word").write.mode("overwrite" if overwrite else "error").parquet(path)
     except Exception as e:  # the reasons differ by file system; callers get one error for all
@@ -48,17 +48,17 @@ def write_dictionary(keyed: DataFrame, path: str, overwrite: bool = True) -> Non
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """The stored ``word, n, mask``; ValueError if nothing is there or it is no dictionary."""
+    """The stored ``word, n, mask, pairs``; ValueError if nothing is there or it is no dictionary."""
     try:
         rows = spark.read.parquet(path)
     except AnalysisException as e:
         raise ValueError(f"cannot open a dictionary at {path}") from e
-    if set(rows.columns) != {"word", "n", "mask", "format", "version"}:
+    if set(rows.columns) != {"word", "n", "mask", "pairs", "format", "version"}:
         raise ValueError(f"{path} holds no dictionary")
     bad = rows.where((F.col("format") != FORMAT) | (F.col("version") != VERSION)).limit(1).count()
     if bad:
         raise ValueError(f"{path} holds another format")
-    return rows.select("word", "n", "mask")
+    return rows.select("word", "n", "mask", "pairs")
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -546,6 +546,20 @@ def test_substring_dedup(spark, none, group_bytes, piece_bytes, monkeypatch):
     assert substring_dedup.cut_repeats(none).count() == 0
 
 
+def test_repeats_in_a_very_long_text(spark):
+    """A text of 8 MB, worked on in pieces: what repeats within it and in another text is removed, and nothing else."""
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    draw = lambda n, seed: letters[np.random.default_rng(seed).integers(0, 26, n)].tobytes().decode()
+    passage, other = draw(700, 1), draw(500, 2)
+    long, short = draw(8_000_000, 3), draw(900, 4)
+    text = f"{long[:2_097_000]}1{passage}2{long[2_097_000:6_000_000]}3{other}4{long[6_000_000:]}5{passage}6"
+    kept = f"{long[:2_097_000]}12{long[2_097_000:6_000_000]}34{long[6_000_000:]}56"
+    rows = [(1, text), (2, f"{short}7{other}8"), (3, draw(399, 5) * 2)]
+    got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.cut_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got[1] == (len(text), 1900, 3, sha(kept)) and got[2] == (1402, 500, 1, sha(short + "78")) and got[3][1] == 0
+
+
 def test_registry():
     from wordloom.llm import registry
 

@@ -171,7 +171,12 @@ def keys_of(words: DataFrame) -> DataFrame:
 
 
 def _by_lengths(q: DataFrame, w: DataFrame, near, d: int, wide: int) -> DataFrame:
-    """Every query is broadcast once for each byte length that it can meet; a word meets the queries of its own length only."""
+    """Every query is broadcast once for each byte length that it can meet; a word meets the queries of its own length only.
+
+    Comparing is the work here, so words are dealt to all cores first: a stored dictionary may be one small file.
+    """
+    spark = w.sparkSession
+    w = w.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     at = q.withColumn("at", F.explode(F.sequence(F.greatest(F.col("qn") - d, F.lit(1)), F.col("qn") + d)))
     return w.join(F.broadcast(at), (F.col("n") == F.col("at")) & near & (F.levenshtein("qb", "wb", wide) >= 0)).select("query", "word", "qb", "wb")
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
-from wordloom.llm import native_queries, substring_dedup
+from wordloom.llm import impact_index, native_queries, substring_dedup
 from wordloom.llm.components import components
 from wordloom.llm.impact_index import Index, exact_scores, exact_top_k
 from wordloom.llm.jaccard_join import drop_near_duplicates, jaccard_components
@@ -245,6 +246,35 @@ def test_top_k(spark):
     assert exact_top_k(df.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
+def test_top_k_over_blocks_and_rounds(spark, monkeypatch):
+    """Many small blocks and rounds; copies of a vector, rows of one id, ties, and ids that ask twice."""
+    for name, n in (("VECTORS_PER_BLOCK", 90), ("QUERIES_PER_BLOCK", 4), ("QUERIES_PER_ROUND", 8), ("FIRST", 8), ("TILE", 16)):
+        monkeypatch.setattr(impact_index, name, n)
+    rng = np.random.default_rng(2)
+    rows = [(k, [int(x) for x in rng.integers(-3, 4, 6)]) for k in range(700)] + [(k, [3, 0, 0, 3, 0, 1]) for k in range(700, 900)]
+    rows += [(50, [3, 0, 0, 3, 0, 1])] * 30 + [(100, [2, 2, 2, -1, 0, 0]), (1000, [1 << 20] * 6), (1001, [0] * 6)]
+    df = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in rows], "vec_id long, embedding array<double>")
+    want = Counter()
+    for q in {k for k, _ in rows if k % 50 == 0}:
+        scores = [(-sum(a * b for a, b in zip(v, w)), k) for i, v in rows if i == q for k, w in rows if k != q]
+        want.update((q, r + 1, k, -s) for r, (s, k) in enumerate(sorted(scores)[:5]))
+    assert counted(exact_top_k(df, F.col("id") % 50 == 0, scale=1.0), "query_id", "rank", "vec_id", "score") == want
+
+
+def test_index_costs_a_few_matrix_products():
+    rng = np.random.default_rng(3)
+    vectors = np.floor(256 * rng.normal(size=(4096, 64)) / 8).astype(np.int64)
+    ids, wide, took = np.arange(4096), vectors.astype(float), []
+    for work in (lambda: wide[:512] @ wide.T, lambda: Index(vectors).search(vectors[:512], ids[:512], ids, 5)):
+        began = []
+        for _ in range(3):
+            t = time.thread_time()
+            work()
+            began.append(time.thread_time() - t)
+        took.append(min(began))
+    assert took[1] < 200 * took[0]
+
+
 def test_index_stops_early_and_stays_exact():
     rng = np.random.default_rng(1)
     dense = rng.integers(-300, 300, (900, 12))
